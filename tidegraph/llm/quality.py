@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegraph.llm.common import materialise, raw_texts, slices, table
 
@@ -190,7 +191,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 _, weight, key = work(part, cache)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], names=[*part.schema.names, "_weight", "_key"])
 
-    schema = docs.schema.add("_weight", "double").add("_key", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())])
     rows = materialise(docs.mapInArrow(run, schema), "weighed")
     edge = threshold(rows.select("doc_id", F.col("_weight").alias("weight"), F.col("_key").alias("key")), known, None)
     return rows.where(F.col("_key") >= edge).drop("_weight", "_key")
