@@ -10,8 +10,11 @@ share it. Patterns come back to pieces by rank: a piece's rank among those of it
 from __future__ import annotations
 
 import heapq
+import sys
 import zlib
+from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,21 @@ SEQUENCE = 2048
 END_ID = 1
 #: Rows that one (length, salt) group of the ranking holds, about.
 RANK_ROWS = 200_000
-#: Word pieces whose ids a worker remembers.
-CACHE = 200_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE = 250_000
+#: Letters up to here keep their count and form when lower-cased one by one, and none of them composes with another.
+LATIN = "\u024f"
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds(dict):
     """Token ids (as little-endian unsigned 32-bit bytes) of what stands between blanks.
 
@@ -44,25 +56,45 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE:
+        ids = self.old.pop(part, None)
+        if ids is None:
+            ids = self._new(part)
+        if len(self) >= CACHE:  # words that are met again move on; the others go with their generation
+            self.old = dict(self)
             self.clear()
         if len(part) <= 64:
             self[part] = ids
         return ids
 
+    def _new(self, part: str) -> bytes:
+        """Ids of a word not met before: those of its lower-cased letters and of a closing mark, or else the tokenizer's."""
+        if len(part) > 1:
+            body, mark = part[:-1], part[-1]
+            if mark in ".,;:!?" and body.isalpha() and max(body) <= LATIN and len(body.lower()) == len(body):
+                return self[body] + self[mark]
+            if part.isalpha() and max(part) <= LATIN and (low := part.lower()) != part and len(low) == len(part):
+                return self[low]
+        return _bytes(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
     def of(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's own: tasks that follow in one process know the words of those before."""
+    return WordIds(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece of at most `sequence` ids; every document ends with `end_id`. keep_ids adds the ids as bytes."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             for part in slices(batch):
                 ids = [words.of(t) + end for t in part.column("text").to_pylist()]
