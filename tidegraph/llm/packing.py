@@ -35,6 +35,10 @@ CACHE = 250_000
 #: Letters up to here keep their count and form when lower-cased one by one, and none of them composes with another.
 LATIN = "\u024f"
 
+#: Byte-level vocabularies write printable bytes of Latin-1 as they are, and the others as characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -56,7 +60,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
+        self.plain = self._is_plain()
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.pop(part, None)
@@ -70,15 +76,31 @@ class WordIds(dict):
         return ids
 
     def _new(self, part: str) -> bytes:
-        """Ids of a word not met before: those of its lower-cased letters and of a closing mark, or else the tokenizer's."""
-        if len(part) > 1:
+        """Ids of a word not met before. Words of Latin letters go to the tokenizer's model without its text steps."""
+        if self.plain and len(part) > 1:
             body, mark = part[:-1], part[-1]
             if mark in ".,;:!?" and body.isalpha() and max(body) <= LATIN and len(body.lower()) == len(body):
                 return self[body] + self[mark]
-            if part.isalpha() and max(part) <= LATIN and (low := part.lower()) != part and len(low) == len(part):
-                return self[low]
+            if part.isalpha() and max(part) <= LATIN and len(low := part.lower()) == len(part):
+                return self._letters(part) if low == part else self[low]
+        return self._encode(part)
+
+    def _encode(self, part: str) -> bytes:
         return _bytes(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of lower-case Latin letters: one pre-token, its UTF-8 bytes as the model's characters."""
+        return _bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
+
+    def _is_plain(self) -> bool:
+        """True if the tokenizer treats Latin words as _new does, for words that hold every letter and some long ones."""
+        letters = [c for c in map(chr, range(ord(LATIN) + 1)) if c.isalpha() and c.lower() == c]
+        words = [a + b + "ing" for a, b in zip(letters, letters[7:] + letters[:7], strict=True)] + ["thing", "straße", "développement", "señorita" * 4]
+        return all(
+            self._letters(w) == self._encode(w) == (self._encode(w.upper()) if len(w.upper()) == len(w) and w.upper().lower() == w else self._encode(w)) and self._encode(w + ",") == self._encode(w) + self._encode(",")
+            for w in words
+        )
+
     def of(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
