@@ -162,20 +162,25 @@ def toxic_features(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     """Words and beginnings whose groups of texts are tied to the label far beyond chance."""
     group = groups_of_copies(docs)
     label = {g: max(toxic[group == g]) for g in np.unique(group).tolist()}
-    sets: dict[int, set[bytes]] = defaultdict(set)
-    for g, words in zip(group.tolist(), docs, strict=True):
-        for w in set(words):
-            sets[g].update(features(w))
     n1 = sum(1 for v in label.values() if v)
     n0 = len(label) - n1
+    members: dict[int, list[int]] = defaultdict(list)
+    for k, g in enumerate(group.tolist()):
+        members[g].append(k)
+    of_group = lambda g: {f for w in {w for k in members[g] for w in docs[k]} for f in features(w)}
     c1: Counter = Counter()
+    for g, v in label.items():
+        if v:
+            c1.update(of_group(g))
+    c1 = Counter({f: n for f, n in c1.items() if n >= 3})
     c0: Counter = Counter()
-    for g, fs in sets.items():
-        (c1 if label[g] else c0).update(fs)
+    for g, v in label.items():
+        if not v:
+            c0.update(of_group(g) & c1.keys())
     out = set()
     for f, a in c1.items():
         b = c0.get(f, 0)
-        if a < 3 or a * n0 < 20 * b * n1:
+        if a * n0 < 20 * b * n1:
             continue
         c, d, n = n1 - a, n0 - b, n1 + n0
         g2 = 2 * sum(x * np.log(x * n / (r * s)) for x, r, s in ((a, a + b, n1), (b, a + b, n0), (c, c + d, n1), (d, c + d, n0)) if x)
