@@ -41,3 +41,11 @@ def remove(df_paths: list[str], spark: SparkSession) -> None:
     for path in df_paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a round's result to the shared folder; it keeps its partitioning, so the next join need not shuffle it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
