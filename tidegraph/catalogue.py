@@ -461,7 +461,7 @@ def live_components(s, d):
 
 @query("live_pagerank", _with(EV, RANKS.format(target="TRUE", rounds=60), recursive=True) + "SELECT id, round(score, 6) AS score FROM pr WHERE it = 60")
 def live_pagerank(s, d):
-    return _live(s, ev(s, d), "pagerank", pagerank_step(1e-11), 2).select("id", F.round("score", 6).alias("score"))
+    return _live(s, ev(s, d), "pagerank", pagerank_step(1e-10), 2).select("id", F.round("score", 6).alias("score"))
 
 
 @query("top_degree", _with(EV, "o AS (SELECT src AS id, count(*) AS n FROM ev GROUP BY src)") + "SELECT row_number() OVER (ORDER BY n DESC, id)::INTEGER AS rank, id, n AS degree FROM o QUALIFY rank <= 20")

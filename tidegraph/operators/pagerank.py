@@ -57,9 +57,11 @@ def pagerank_from(edges: DataFrame, vertices: DataFrame, before: DataFrame | Non
     size = vertices.agg(F.count("*").alias("n"))
     state = vertices.select("id").join(has, "id", "left").join(F.broadcast(size), F.lit(True)).select("id", "n", F.col("_has").isNull().alias("sink"))
     if before is not None:
-        state = state.join(before.select("id", F.col("score").alias("old")), "id", "left").select("id", "n", "sink", F.coalesce("old", F.lit(0.0)).alias("score"))
+        state = state.join(before.select("id", F.col("score").alias("old")), "id", "left").select("id", "n", "sink", F.coalesce("old", 1 / F.col("n")).alias("score"))
+        whole = state.agg(F.sum("score").alias("whole"))  # scores that add up to 1 leave residuals that cancel out
+        state = state.join(F.broadcast(whole), F.lit(True)).select("id", "n", "sink", (F.col("score") / F.col("whole")).alias("score"))
     else:
-        state = state.withColumn("score", F.lit(0.0))
+        state = state.withColumn("score", 1 / F.col("n"))
     now = cut(state.withColumn("flow", F.col("score")))  # what a vertex hands on next
     first = True
     for _ in range(max_rounds):

@@ -44,8 +44,5 @@ def remove(df_paths: list[str], spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a round's result to the shared folder; it keeps its partitioning, so the next join need not shuffle it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """A round's result, written and read again. A checkpointed plan would hand its constraints on, and they multiply with every round."""
+    return materialise(df, "round")
