@@ -127,8 +127,9 @@ def test_temporal_windows(spark):
     assert temporal.window_violations(c, e, 1, extend=False).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_temporal_random(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 0), (1, 50_000), (2, 50_000), (3, 10)])
+def test_temporal_random(spark, monkeypatch, seed, local):
+    monkeypatch.setattr(temporal, "LOCAL_EDGES", local)
     rnd = random.Random(seed)
     rows = []
     for k in range(40):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from tidegraph.plans.storage import cut
 
 FOREVER = (1 << 63) - 1
+#: Unreached edges from which on the rest is solved on the driver: long tails of rounds with a few edges each cost more than they hold.
+LOCAL_EDGES = 50_000
 
 
 def merge_windows(rows: DataFrame) -> DataFrame:
@@ -36,16 +40,44 @@ def reachable_windows(edges: DataFrame, source, max_rounds: int = 10_000) -> Dat
         inside = (F.col("src") == F.col("id")) & (F.col("ts") > F.col("start")) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
         marked = cut(todo.join(front, inside, "left").select("event_idx", "src", "dst", "ts", "end_ts", F.col("id").isNotNull().alias("hit")))  # a vertex's windows are disjoint: at most one holds ts
         new = marked.where("hit")
-        if not new.take(1):
+        sizes = {r["hit"]: r["count"] for r in marked.groupBy("hit").count().collect()}
+        if not sizes.get(True):
             break
         rows = new.select(F.col("dst").alias("id"), F.col("ts").alias("start"), F.col("end_ts").alias("end"), F.lit(hops).cast("long").alias("hops"))
         reached = rows if reached is None else reached.union(rows)
         front = merge_windows(rows.where(F.col("id") != source)).drop("hops")
         todo = marked.where("not hit").drop("hit")
+        if sizes.get(False, 0) <= LOCAL_EDGES:
+            # a window is sent only if it holds an edge, and an edge lies in one window of a vertex at most
+            rest = _finish([tuple(r) for r in todo.collect()], [tuple(r) for r in front.join(todo.select("src", "ts"), inside, "left_semi").collect()], source, hops)
+            reached = reached.union(todo.sparkSession.createDataFrame(rest, rows.schema))
+            break
     own = todo.sparkSession.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("hops"))
     return own if reached is None else own.union(merge_windows(reached.where(F.col("id") != source)))
 
 
+def _finish(edges: list[tuple], front: list[tuple], source, hops: int) -> list[tuple]:
+    """The remaining rounds on at most LOCAL_EDGES edges (event_idx, src, dst, ts, end_ts), from windows (id, start, end)."""
+    by: dict = {}
+    for e in sorted(edges, key=lambda e: e[3]):
+        by.setdefault(e[1], []).append(e)
+    times = {v: [e[3] for e in es] for v, es in by.items()}
+    taken: set[int] = set()
+    out = []
+    while front:
+        hops += 1
+        new = []
+        for v, start, end in front:
+            if v in by:
+                for e in by[v][bisect_right(times[v], start) : len(by[v]) if end is None else bisect_left(times[v], end)]:
+                    if e[0] not in taken:
+                        taken.add(e[0])
+                        new.append(e)
+        out += [(e[2], e[3], e[4], hops) for e in new]
+        front = [(e[2], e[3], e[4]) for e in new if e[2] != source]
+    return out
+
+
 def undominated(rows: DataFrame) -> DataFrame:
     """Windows (id, start, end, ...) that no other window of the vertex covers; of equal ones the first by hops."""
     order = Window.partitionBy("id").orderBy("start", F.desc("_e"), "hops")
