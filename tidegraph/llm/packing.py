@@ -31,7 +31,9 @@ END_ID = 1
 #: Rows that one (length, salt) group of the ranking holds, about.
 RANK_ROWS = 200_000
 #: Words whose ids a worker remembers in each of two generations.
-CACHE = 250_000
+CACHE = 400_000
+#: Marks that may close a word; a run of them is one pre-token. An apostrophe can open one with letters, so it is none.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Letters up to here keep their count and form when lower-cased one by one, and none of them composes with another.
 LATIN = "\u024f"
 
@@ -78,10 +80,11 @@ class WordIds(dict):
     def _new(self, part: str) -> bytes:
         """Ids of a word not met before. Words of Latin letters go to the tokenizer's model without its text steps."""
         if self.plain and len(part) > 1:
-            body, mark = part[:-1], part[-1]
-            if mark in ".,;:!?" and body.isalpha() and max(body) <= LATIN and len(body.lower()) == len(body):
-                return self[body] + self[mark]
-            if part.isalpha() and max(part) <= LATIN and len(low := part.lower()) == len(part):
+            body = part.rstrip(MARKS)
+            if len(body) < len(part):
+                if body.isalpha() and max(body) <= LATIN and len(body.lower()) == len(body):
+                    return self[body] + self[part[len(body) :]]
+            elif part.isalpha() and max(part) <= LATIN and len(low := part.lower()) == len(part):
                 return self._letters(part) if low == part else self[low]
         return self._encode(part)
 
@@ -97,7 +100,7 @@ class WordIds(dict):
         letters = [c for c in map(chr, range(ord(LATIN) + 1)) if c.isalpha() and c.lower() == c]
         words = [a + b + "ing" for a, b in zip(letters, letters[7:] + letters[:7], strict=True)] + ["thing", "straße", "développement", "señorita" * 4]
         return all(
-            self._letters(w) == self._encode(w) == (self._encode(w.upper()) if len(w.upper()) == len(w) and w.upper().lower() == w else self._encode(w)) and self._encode(w + ",") == self._encode(w) + self._encode(",")
+            self._letters(w) == self._encode(w) == (self._encode(w.upper()) if len(w.upper()) == len(w) and w.upper().lower() == w else self._encode(w)) and all(self._encode(w + m) == self._encode(w) + self._encode(m) for m in (",", "$$$", ".!?", MARKS))
             for w in words
         )
 
