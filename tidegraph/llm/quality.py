@@ -171,7 +171,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **options
 
 def threshold(rows: DataFrame, known: DataFrame, k: int | None) -> float:
     if k is None:
-        pairs = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "weight", "good").agg(F.lit(1)).select("weight", "good").toArrow()  # at most the sample, unless one id has many texts
+        pairs = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")).select("weight", "good").toArrow()  # at most the sample
         cut = best_cut(pairs.column("weight").to_numpy(), pairs.column("good").to_numpy(zero_copy_only=False).astype(bool))
         k = rows.where(F.col("weight") >= cut).count()
     if k <= 0:
