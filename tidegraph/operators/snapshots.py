@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from tidegraph.functions.order import slot_of
 from tidegraph.operators.pagerank import pagerank
-from tidegraph.operators.topology import adds, vertices
+from tidegraph.operators.temporal import reach_report, reachable_windows
+from tidegraph.operators.topology import adds, range_edges, vertices
 from tidegraph.plans.storage import materialise
 from tidegraph.schema import ADD, DELETE
 
@@ -120,3 +121,16 @@ def solve_each(events: DataFrame, bounds: list[tuple[int, int]], solve) -> DataF
         one = solve(adds(events).where(F.col("event_idx") <= at), v.where(F.col("create_event") <= at)).withColumn("snapshot_id", F.lit(k))
         out = one if out is None else out.union(one)
     return out
+
+
+def reach_series(events: DataFrame, bounds: list[tuple[int, int]], source, window: int | None = None) -> DataFrame:
+    """The reach statistics of each snapshot, with snapshot_id, live and ended edges: edges that end later are still open in it."""
+    out, v = None, vertices(events)
+    for k, (at, now) in enumerate(bounds):
+        edges = range_edges(events.where(F.col("event_idx") <= at), window)
+        edges = materialise(edges.withColumn("end_ts", F.when(F.col("end_ts") <= now, F.col("end_ts"))), "ranges")
+        size = edges.agg(F.count("*").alias("edges"), F.count("end_ts").alias("ended"))
+        report = reach_report(reachable_windows(edges, source), edges, v.where(F.col("create_event") <= at))
+        one = report.join(F.broadcast(size), F.lit(True)).select(F.lit(k).alias("snapshot_id"), F.lit(at).cast("long").alias("at_event"), F.lit(now).cast("long").alias("at_ts"), "edges", "ended", *report.columns)
+        out = one if out is None else out.union(one)
+    return out

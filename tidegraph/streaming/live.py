@@ -114,7 +114,8 @@ class LiveGraph:
         self.versions.update(new)
         mark = json.dumps({"batch": batch_id, "log": at, "versions": self.versions})
         self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/marks")
-        self.metrics.append({"batch": batch_id, "latency_ms": int(1000 * (time.time() - began))})
+        took = time.time() - began
+        self.metrics.append({"batch": batch_id, "events": (n := rows.count()), "latency_ms": int(1000 * took), "events_per_second": n / max(took, 1e-9)})
 
     def follow(self, stream: DataFrame, checkpoint: str | None = None, **trigger):
         """Start a streaming query over an event stream; trigger as for writeStream.trigger."""
