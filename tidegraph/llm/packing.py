@@ -31,7 +31,7 @@ END_ID = 1
 #: Rows that one (length, salt) group of the ranking holds, about.
 RANK_ROWS = 200_000
 #: Words whose ids a worker remembers in each of two generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Marks that may close a word; a run of them is one pre-token. An apostrophe can open one with letters, so it is none.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Letters up to here keep their count and form when lower-cased one by one, and none of them composes with another.
