@@ -12,7 +12,7 @@ from tidegraph.functions.ranking import compare, overlap_report, picked_differen
 from tidegraph.operators import groups, pagerank, paths, snapshots, temporal, topology
 from tidegraph.plans.program import VertexProgram, run
 from tidegraph.sources import text
-from tidegraph.streaming.live import LiveGraph, components_step, event_stream, pagerank_step, sssp_step
+from tidegraph.streaming.live import LiveGraph, colour_step, components_step, event_stream, pagerank_step, program_step, sssp_step, temporal_step, triangles_step
 
 
 def graph(spark, pairs, **more):
@@ -181,6 +181,48 @@ def test_live_equals_recomputed(spark, tmp_path):
         live.process(text.events_of(spark, [("DEL", 9, 0)]), 99)
 
 
+def test_live_with_deletions(spark):
+    """Colours, triangles, windows and an own program after random batches equal those of the whole log."""
+    rnd = random.Random(11)
+    log, there = [], []
+    for t in range(60):
+        if there and t > 20 and rnd.random() < 0.4:
+            log.append(("DEL", *there.pop(rnd.randrange(len(there))), 1.0, t))
+        else:
+            pair = (rnd.randrange(9), rnd.randrange(9))
+            there.append(pair)
+            log.append(("ADD", *pair, 1.0, t))
+    e = text.events_of(spark, log)
+    live = LiveGraph(spark, {"colour": colour_step, "windows": temporal_step(0)})
+    live.replay(e, [(19, 0), (39, 0)])
+    edges, v = topology.live_edges(e), topology.vertices(e)
+    assert as_dict(live.state("colour"), "colour") == as_dict(groups.colour(edges, v), "colour")
+    want = sorted(tuple(r)[:2] for r in temporal.reachable_windows(topology.range_edges(e), 0).collect())
+    assert sorted(tuple(r)[:2] for r in live.state("windows").collect()) == want
+    bounds = [(k, k) for k in (19, 39, 59)]
+    rows = {(r["snapshot_id"], r["event_idx"]) for r in snapshots.unfolded_edges(e, bounds).collect()}
+    assert rows == {(k, r["event_idx"]) for k, (at, _) in enumerate(bounds) for r in topology.live_edges(e, at).collect()}
+    degrees = {(r["snapshot_id"], r["id"]): r["out_degree"] for r in snapshots.degree_series(e, bounds).collect()}
+    for k, (at, _) in enumerate(bounds):
+        got = {v: n for (s, v), n in degrees.items() if s == k}
+        assert got == as_dict(topology.live_edges(e, at).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "n")
+
+
+def test_live_growing(spark):
+    rnd = random.Random(12)
+    pairs = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(60)]
+    e, v = graph(spark, pairs)
+    live = LiveGraph(spark, {"triangles": triangles_step, "labels": program_step(groups.least_label_program())})
+    live.replay(e, [(9, 0), (30, 0)])
+    assert as_dict(live.state("triangles"), "triangles") == as_dict(groups.triangle_leaders(e), "triangles")
+    assert as_dict(live.state("labels"), "label") == as_dict(groups.connected_components(e, v), "component")
+    for k, name in enumerate(("triangles", "labels")):
+        one = LiveGraph(spark, {name: live.steps[name]})
+        one.replay(e, [(9, 0), (30, 0)])
+        with pytest.raises(ValueError):
+            one.process(text.events_of(spark, [("DEL", *next(p for p in pairs if p[0] != p[1]))]), 99 + k)
+
+
 def test_structured_streaming(spark, tmp_path):
     e, v = graph(spark, MULTI)
     source = tmp_path / "in"

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tidegraph.functions.ranking import compare, overlap_report, top_n
 from tidegraph.operators import groups, pagerank, paths, snapshots, temporal, topology
 from tidegraph.sources import tables, text
-from tidegraph.streaming.live import LiveGraph, components_step, pagerank_step, sssp_step
+from tidegraph.streaming.live import LiveGraph, colour_step, components_step, pagerank_step, program_step, sssp_step, temporal_step, triangles_step
 
 MICROS = 1_000_000
 DAY = 86_400 * MICROS
@@ -428,6 +428,22 @@ def degree_stability(s, d):
     return snapshots.stability(snapshots.degree_series(e, snapshots.ratchet(e, WEEK)), "out_degree")
 
 
+@query("snapshot_degrees", _with(EV, DEL, BOUNDS.format(step=WEEK), recursive=True) + """
+SELECT snapshot_id::INTEGER AS snapshot_id, src AS id, count(*) AS out_degree FROM b JOIN ranges ON event_idx <= 2 * at_event AND (del_event IS NULL OR del_event > 2 * at_event) GROUP BY ALL""")
+def snapshot_degrees(s, d):
+    """Out-degrees at weekly snapshots of a log with deletions."""
+    events = tables.with_deletes(ev(s, d), 2)
+    return snapshots.degree_series(events, snapshots.ratchet(events, WEEK))
+
+
+@query("snapshot_edges", _with(EV, DEL, BOUNDS.format(step=WEEK), recursive=True) + """
+SELECT snapshot_id::INTEGER AS snapshot_id, event_idx, src, dst FROM b JOIN ranges ON event_idx <= 2 * at_event AND (del_event IS NULL OR del_event > 2 * at_event)""")
+def snapshot_edges(s, d):
+    """The live edges at weekly snapshots of a log with deletions."""
+    events = tables.with_deletes(ev(s, d), 2)
+    return snapshots.unfolded_edges(events, snapshots.ratchet(events, WEEK)).select("snapshot_id", "event_idx", "src", "dst")
+
+
 @query("colour_stability")
 def colour_stability(s, d):
     """Colours of three snapshots, each solved from scratch."""
@@ -459,6 +475,37 @@ def live_components(s, d):
     return _live(s, e, "cc", components_step)
 
 
+@query("live_program", ORACLES["cc_program"])
+def live_program(s, d):
+    """A vertex program that goes on from the messages of each batch."""
+    return _live(s, tables.part_customer(s, d), "labels", program_step(groups.least_label_program()))
+
+
+@query("live_triangles", ORACLES["triangle_leaders"])
+def live_triangles(s, d):
+    return _live(s, ev(s, d), "triangles", triangles_step)
+
+
+@query("live_temporal", _with(EV, DEL, REACH.format(open=OPEN), recursive=True) + f'SELECT id, start, CASE WHEN en < {OPEN} THEN en END AS "end" FROM windows')
+def live_temporal(s, d):
+    """Windows of the log with deletions, kept up over two batches."""
+    return _live(s, tables.with_deletes(ev(s, d), 2), "temporal", temporal_step(0), 2).drop("hops")
+
+
+@query("live_colouring", _with(PC) + "SELECT (SELECT count(*) FROM v) AS vertices, 0::BIGINT AS differing")
+def live_colouring(s, d):
+    """Colours kept up over three batches, the last of which deletes edges, against colours of the graph that is left."""
+    adds = tables.part_customer(s, d).withColumn("event_idx", F.col("event_idx") * 2)
+    dels = adds.where("event_idx % 10 = 0").withColumn("type", F.lit("DEL"))
+    end = adds.agg(F.max("event_idx")).first()[0] + 1
+    events = adds.unionByName(dels.withColumn("event_idx", F.col("event_idx") + end))
+    live = LiveGraph(s, {"colour": colour_step})
+    live.replay(events, [(end // 2, 0), (end, 0)])
+    whole = groups.colour(topology.live_edges(events), topology.vertices(events))
+    both = live.state("colour").join(whole.select("id", F.col("colour").alias("other")), "id", "full")
+    return both.agg(F.count("*").alias("vertices"), F.count_if(~F.col("colour").eqNullSafe(F.col("other"))).alias("differing"))
+
+
 @query("live_pagerank", _with(EV, RANKS.format(target="TRUE", rounds=60), recursive=True) + "SELECT id, round(score, 6) AS score FROM pr WHERE it = 60")
 def live_pagerank(s, d):
     return _live(s, ev(s, d), "pagerank", pagerank_step(1e-10), 2).select("id", F.round("score", 6).alias("score"))

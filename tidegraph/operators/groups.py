@@ -27,9 +27,16 @@ def least_label_program() -> VertexProgram:
         update=lambda: {"label": F.least("label", "msg")},
         changed=lambda: F.col("label") < F.col("old_label"),
         edge_transform=neighbours,
+        on_delta=_labels_over,
     )
 
 
+def _labels_over(added: DataFrame, removed: DataFrame, state: DataFrame) -> DataFrame:
+    if removed.take(1):
+        raise ValueError("labels only shrink; recompute after deletions")
+    return added.join(state, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.col("label").alias("msg"))
+
+
 def split_edges(result: DataFrame, edges: DataFrame, label: str = "component") -> DataFrame:
     """Edges whose ends have different labels, or none: no rows in a right result."""
     a = result.select(F.col("id").alias("src"), F.col(label).alias("x"))
@@ -63,6 +70,22 @@ def triangle_leaders(edges: DataFrame) -> DataFrame:
     return triangles(edges).groupBy(F.col("leader").alias("id")).agg(F.count("*").alias("triangles"))
 
 
+def closed_triangles(pairs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, triangles): the triangles whose last pair to arrive is one of `fresh`, by that pair's stream source.
+
+    Both hold (a, b, first_event, first_src) of distinct undirected pairs. Each fresh pair is widened at its end of
+    lower degree, so a hub's neighbours are read only between hubs.
+    """
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("first_event").alias("e2")).union(pairs.select("b", "a", "first_event"))
+    degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n"))
+    ranked = fresh.join(degree.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    low = F.col("na") <= F.col("nb")
+    arcs = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"), F.col("first_event").alias("e"), F.col("first_src").alias("s"))
+    wedges = arcs.join(both, "u").where("e2 < e and w <> v").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"), "e", "s")
+    closing = pairs.select("a", "b", F.col("first_event").alias("e3"))
+    return wedges.join(closing, ["a", "b"]).where("e3 < e").groupBy(F.col("s").alias("id")).agg(F.count("*").alias("triangles"))
+
+
 def colour(edges: DataFrame, vertices: DataFrame, priority: str = "id", max_rounds: int = 10_000, start: DataFrame | None = None) -> DataFrame:
     """(id, colour): each vertex takes the smallest colour that no neighbour of higher priority has.
 
@@ -91,6 +114,27 @@ def colour(edges: DataFrame, vertices: DataFrame, priority: str = "id", max_roun
     return now.select("id", "colour")
 
 
+def recolour(edges: DataFrame, vertices: DataFrame, start: DataFrame, dirty: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """What colour() gives by id, from the colours `start` of an earlier graph; dirty: vertices whose smaller neighbours changed.
+
+    Dirty vertices and those without a colour choose again; one that changes makes its larger neighbours dirty. A vertex
+    is right once its smaller neighbours are, so the rounds end, and a batch costs what it changes.
+    """
+    before = cut(neighbours(edges).where("src < dst").select("src", "dst"))  # src decides first
+    now = cut(vertices.select("id").join(start.select("id", F.col("colour").cast("int").alias("colour")), "id", "left"))
+    todo = cut(dirty.select("id").union(now.where("colour is null").select("id")).distinct())
+    for _ in range(max_rounds):
+        around = before.join(todo.select(F.col("id").alias("dst")), "dst").join(now.select(F.col("id").alias("src"), "colour"), "src")
+        used = around.groupBy(F.col("dst").alias("id")).agg(F.collect_set("colour").alias("used"))
+        chosen = todo.join(used, "id", "left").select("id", first_unused(F.coalesce("used", F.array().cast("array<int>"))).alias("new"))
+        moved = cut(chosen.join(now, "id").where("colour is null or colour <> new").select("id", "new"))
+        if not moved.take(1):
+            return now
+        now = cut(now.join(moved, "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
+        todo = cut(before.join(moved.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct())
+    raise RuntimeError(f"colours: no fixed point after {max_rounds} rounds")
+
+
 def colour_violations(result: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Vertices without a colour, neighbours with the same, colours above the number of neighbours; none if right."""
     pairs = neighbours(edges)

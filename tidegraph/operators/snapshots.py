@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidegraph.functions.order import slot_of
 from tidegraph.operators.pagerank import pagerank
 from tidegraph.operators.temporal import reach_report, reachable_windows
-from tidegraph.operators.topology import adds, range_edges, vertices
+from tidegraph.operators.topology import adds, live_edges, paired_deletes, range_edges, vertices
 from tidegraph.plans.storage import materialise
 from tidegraph.schema import ADD, DELETE
 
@@ -67,19 +67,28 @@ def unfolded(rows: DataFrame, bounds: list[tuple[int, int]], column: str) -> Dat
     return assigned(rows, bounds, column).withColumn("snapshot_id", F.explode(F.sequence(F.col("snapshot_id"), F.lit(len(bounds) - 1))))
 
 
+def unfolded_edges(events: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(snapshot_id, event_idx, src, dst): every edge once for each snapshot that it is live in."""
+    if not events.where(F.col("type") == DELETE).take(1):
+        return unfolded(adds(events).select("event_idx", "src", "dst"), bounds, "event_idx")
+    last = F.when(F.col("del_event").isNull(), len(bounds)).otherwise(slot_of(F.col("del_event"), [e for e, _ in bounds])).cast("int") - 1
+    rows = assigned(paired_deletes(events), bounds).select("event_idx", "src", "dst", "snapshot_id", last.alias("_last")).where("snapshot_id <= _last")
+    return rows.select(F.explode(F.sequence("snapshot_id", "_last")).alias("snapshot_id"), "event_idx", "src", "dst")
+
+
 def pagerank_series(events: DataFrame, bounds: list[tuple[int, int]], rounds: int = 15, interest: list | None = None) -> DataFrame:
     """(snapshot_id, id, score): all snapshots are solved together, the snapshot's id being part of every key."""
-    e = unfolded(adds(events).select("event_idx", "src", "dst"), bounds, "event_idx")
+    e = unfolded_edges(events, bounds)
     v = unfolded(vertices(events), bounds, "create_event")
     scores = pagerank(e, v.select("snapshot_id", "id"), rounds, by=["snapshot_id"])
     return scores.where(F.col("id").isin(interest)) if interest else scores
 
 
 def degree_series(events: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(snapshot_id, id, out_degree) of sources, added up over snapshots."""
-    new = assigned(adds(events), bounds).groupBy("src", "snapshot_id").agg(F.count("*").alias("n"))
+    """(snapshot_id, id, out_degree) of vertices with live out-edges, added up over snapshots."""
+    new = assigned(events, bounds).groupBy("src", "snapshot_id").agg(F.sum(F.when(F.col("type") == ADD, 1).otherwise(-1)).alias("n"))
     every = new.select("src", F.explode(F.sequence("snapshot_id", F.lit(len(bounds) - 1))).alias("snapshot_id"), "n")
-    return every.groupBy("snapshot_id", F.col("src").alias("id")).agg(F.sum("n").alias("out_degree"))
+    return every.groupBy("snapshot_id", F.col("src").alias("id")).agg(F.sum("n").alias("out_degree")).where("out_degree > 0")
 
 
 def top_series(series: DataFrame, n: int, value: str = "score") -> DataFrame:
@@ -118,7 +127,7 @@ def solve_each(events: DataFrame, bounds: list[tuple[int, int]], solve) -> DataF
     out = None
     v = vertices(events)
     for k, (at, _) in enumerate(bounds):
-        one = solve(adds(events).where(F.col("event_idx") <= at), v.where(F.col("create_event") <= at)).withColumn("snapshot_id", F.lit(k))
+        one = solve(live_edges(events, at), v.where(F.col("create_event") <= at)).withColumn("snapshot_id", F.lit(k))
         out = one if out is None else out.union(one)
     return out
 

@@ -18,6 +18,7 @@ class VertexProgram:
     init: vertices -> state. message: what an edge of a changed source carries, over the columns of both. combine: the
     aggregate of the messages of one target. update: new state columns from the old ones and `msg` (null without
     mail). changed: whether the vertex sends in the next round, over the new columns, `old_<column>` and `msg`.
+    on_delta: added edges, removed edges, state -> messages (id, msg) that bring a live graph's state up to a batch.
     """
 
     init: Callable[[DataFrame], DataFrame]
@@ -32,10 +33,11 @@ class VertexProgram:
     on_delta: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
 
 
-def run(program: VertexProgram, edges: DataFrame, vertices: DataFrame, max_rounds: int = 10_000, state: DataFrame | None = None, active: DataFrame | None = None) -> DataFrame:
+def run(program: VertexProgram, edges: DataFrame, vertices: DataFrame, max_rounds: int = 10_000, state: DataFrame | None = None, active: DataFrame | None = None, mail: DataFrame | None = None) -> DataFrame:
     """The fixpoint: rounds in which only changed vertices send, each written once; messages combine before the shuffle.
 
     state and active continue an earlier result: `state` instead of init, sending first from the ids of `active`.
+    mail (id, msg) does so too: it is delivered first, and only vertices that it changes send.
     """
     edges = program.edge_transform(edges) if program.edge_transform else edges
     now = program.init(vertices) if state is None else state
@@ -43,8 +45,8 @@ def run(program: VertexProgram, edges: DataFrame, vertices: DataFrame, max_round
     if active is not None:
         now = now.join(active.select("id", F.lit(True).alias("_a")).distinct(), "id", "left").withColumn("_active", F.col("_a").isNotNull()).drop("_a")
     elif "_active" not in now.columns:
-        now = now.withColumn("_active", F.lit(True))
-    now = cut(now)
+        now = now.withColumn("_active", F.lit(mail is None))
+    now = cut(now) if mail is None else _step(program, now, mail.select("id", F.col("msg").alias("_m")), columns)
     for _ in range(max_rounds):
         sent = now.where("_active").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), program.message().alias("_m"))
         now = _step(program, now, sent, columns)

@@ -10,17 +10,20 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.operators import groups
 from tidegraph.operators.links import components
 from tidegraph.operators.pagerank import pagerank_from
 from tidegraph.operators.paths import shortest_program
-from tidegraph.operators.topology import live_edges, vertices
-from tidegraph.plans.program import run
-from tidegraph.plans.storage import shared_path
-from tidegraph.schema import DELETE, EVENTS
+from tidegraph.operators.temporal import reachable_windows
+from tidegraph.operators.topology import live_edges, range_edges, undirected_pairs, vertices
+from tidegraph.plans.program import VertexProgram, run
+from tidegraph.plans.storage import cut, shared_path
+from tidegraph.schema import ADD, DELETE, EVENTS
 
 #: (log so far with the batch, batch, last state or None) -> new state
 Step = Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
@@ -65,6 +68,47 @@ def pagerank_step(epsilon: float = 1e-9) -> Step:
     return lambda log, batch, before: pagerank_from(live_edges(log), vertices(log), before, epsilon)
 
 
+def colour_step(log: DataFrame, batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Colours by id after each batch, deletions included: the larger end of each changed edge chooses first."""
+    edges, ids = live_edges(log), vertices(log)
+    if before is None:
+        return groups.colour(edges, ids)
+    return groups.recolour(edges, ids, before, batch.where("src <> dst").select(F.greatest("src", "dst").alias("id")).distinct())
+
+
+def triangles_step(log: DataFrame, batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(id, triangles) by leader after each batch: a new triangle's last pair is new, so only new pairs are searched from."""
+    _no_deletes(batch)
+    pairs = cut(undirected_pairs(log).select("a", "b", "first_event", "first_src"))
+    first = batch.agg(F.min("event_idx").alias("_lo"))
+    found = groups.closed_triangles(pairs, pairs.join(F.broadcast(first), F.col("first_event") >= F.col("_lo")).drop("_lo"))
+    return found if before is None else before.unionByName(found).groupBy("id").agg(F.sum("triangles").alias("triangles"))
+
+
+def temporal_step(source, window: int | None = None) -> Step:
+    """Windows of reachability after each batch, solved anew: a deletion can close any window that was open."""
+    return lambda log, batch, before: reachable_windows(range_edges(log, window), source)
+
+
+def program_step(program: VertexProgram) -> Step:
+    """Any vertex program: with on_delta its state goes on from the messages of a batch, without it is solved anew.
+
+    The state is the program's own; finish is left to the reader.
+    """
+    program = replace(program, finish=None)
+    shaped = program.edge_transform or (lambda edges: edges)
+
+    def step(log: DataFrame, batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        edges, ids = live_edges(log), vertices(log)
+        if before is None or program.on_delta is None:
+            return run(program, edges, ids)
+        state = before.unionByName(program.init(ids).join(before, "id", "left_anti").select(before.columns))
+        added, removed = (shaped(batch.where(F.col("type") == kind)) for kind in (ADD, DELETE))
+        return run(program, edges, ids, state=state, mail=program.on_delta(added, removed, state))
+
+    return step
+
+
 class LiveGraph:
     """The log of a live graph and the state of its programs, by batch."""
 
