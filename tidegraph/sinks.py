@@ -14,6 +14,10 @@ def properties_name(graph: str, dynamic: bool) -> str:
     return f"results/{PurePath(graph).stem}-props-{'dynamic' if dynamic else 'static'}.txt"
 
 
+def series_name(graph: str, program: str) -> str:
+    return f"results/{PurePath(graph).stem}-{program}-series"
+
+
 def write_properties(result: DataFrame, path: str) -> None:
     """Lines `id,property`, one part file per partition."""
     result.write.mode("overwrite").option("nullValue", "").csv(path)
