@@ -5,6 +5,7 @@ import pytest
 from conftest import TOY
 from pyspark.sql import functions as F
 
+from tidegraph.functions.order import in_order_within
 from tidegraph.graph import Graph
 from tidegraph.operators import topology as T
 from tidegraph.schema import Options
@@ -120,3 +121,17 @@ def test_sql_views_and_deletes_stream(spark):
     g.views()
     assert spark.sql("select count(*) from graph_edges").first()[0] == 3
     assert spark.sql("select count(*) from graph_vertices").first()[0] == 2
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 16])
+def test_positions_of_a_hub(spark, width):
+    rnd = random.Random(width)
+    rows = [(k, rnd.choice([0, 0, 0, 1, 2])) for k in rnd.sample(range(500), 200)]
+    want, seen = {}, defaultdict(int)
+    for k, d in sorted(rows):
+        want[k] = seen[d]
+        seen[d] += 1
+    df = spark.createDataFrame(rows, "event_idx long, dst long")
+    got = in_order_within(df, "dst", "event_idx", width)
+    assert got.columns == ["event_idx", "dst", "pos"] and {r["event_idx"]: r["pos"] for r in got.collect()} == want
+    assert in_order_within(df.limit(0), "dst", "event_idx", width).count() == 0

@@ -28,6 +28,19 @@ def in_order(df: DataFrame, key: str, lead: tuple[str, ...] = (), width: int = W
     return placed.withColumn(out, F.col("_row") - 1 + F.col("_before")).withColumns(nexts).select(*df.columns, out, *[f"next_{c}" for c in lead])
 
 
+def in_order_within(df: DataFrame, by: str, key: str, width: int = WIDTH, out: str = "pos") -> DataFrame:
+    """Add `out`, the 0-based position by the unique integer column `key` among the rows with the same `by`.
+
+    Rows meet in buckets of `width` keys, so a value of `by` that holds a third of all rows is still ranked by many tasks.
+    """
+    rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
+    upto = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select(by, "_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(key)))
+    return placed.join(before, [by, "_bucket"]).select(*df.columns, (F.col("_row") - 1 + F.col("_before")).alias(out))
+
+
 def in_scan_order(df: DataFrame, out: str = "event_idx") -> DataFrame:
     """Add the 0-based position in scan order (partition, then row). `df` must give the same rows on every reading."""
     rows = df.withColumn("_id", F.monotonically_increasing_id())

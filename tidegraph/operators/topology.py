@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.functions.order import in_order_within
 from tidegraph.schema import ADD, DELETE
 
 
@@ -21,7 +22,7 @@ def vertices(events: DataFrame) -> DataFrame:
 
 def in_positions(events: DataFrame) -> DataFrame:
     """ADD events with pos, the arrival number of the edge at its destination; deletions do not lower it."""
-    return adds(events).withColumn("pos", (F.row_number().over(Window.partitionBy("dst").orderBy("event_idx")) - 1).cast("long"))
+    return in_order_within(adds(events), "dst", "event_idx")
 
 
 def paired_deletes(events: DataFrame, by_time: bool = False) -> DataFrame:
