@@ -110,8 +110,8 @@ def colour(edges: DataFrame, vertices: DataFrame, priority: str = "id", max_roun
         ready = F.col("colour").isNull() & (F.col("heard") == F.col("waits"))
         now = cut(met.withColumn("fresh", ready).withColumn("colour", F.when(ready, first_unused(F.col("used"))).otherwise(F.col("colour"))).select("id", "waits", "colour", "used", "heard", "fresh"))
         if not now.where("fresh").take(1):
-            break
-    return now.select("id", "colour")
+            return now.select("id", "colour")
+    raise RuntimeError(f"colours: not done after {max_rounds} rounds; priority=\"hash\" needs fewer")
 
 
 def recolour(edges: DataFrame, vertices: DataFrame, start: DataFrame, dirty: DataFrame, max_rounds: int = 10_000) -> DataFrame:
