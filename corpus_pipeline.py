@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import materialise, table
 from tidegraph.llm.decontaminate import remove_contaminated
+from tidegraph.llm.near_copies import keep_one_copy
 from tidegraph.llm.packing import pack
 from tidegraph.llm.personal_data import redact_personal_data
 from tidegraph.llm.quality import keep_good
-from tidegraph.llm.simhash import keep_one
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates."""
-    return keep_one(docs)
+    """One row of each group of near duplicates: op4's links, and texts that share 4/5 of their five-word shingles."""
+    return keep_one_copy(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,19 +33,26 @@ BLOCK = 2048
 BUCKET = 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bits set in over half of the hashes of the text's word shingles (repeats included); no words: 0."""
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Hashes of the text's word shingles in their order, repeats included."""
     parts = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
     n = len(parts)
     if not n:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     whole = memoryview(b" ".join(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=n) + 1) - 1
     k = min(words, n)
     begin = np.concatenate([[0], ends[: n - k] + 1]).tolist()
     end = ends[k - 1 :].tolist()
     one = xxhash.xxh64_intdigest
-    h = np.fromiter([one(whole[a:b], SEED) for a, b in zip(begin, end, strict=True)], dtype=np.uint64, count=n - k + 1)
+    return np.fromiter([one(whole[a:b], SEED) for a, b in zip(begin, end, strict=True)], dtype=np.uint64, count=n - k + 1)
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Bits set in over half of the hashes of the text's word shingles (repeats included); no words: 0."""
+    h = shingles(text, words)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -247,8 +254,13 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     All columns pass through; of rows equal in doc_id and text one stays. Ids and hashes alone decide; the texts are
     shuffled once, to meet the decision.
     """
+    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text"), words, radius))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of each component that keep_one names; found: (doc_id, h, component) of every row."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    rows = near_duplicates(docs.select("doc_id", "text"), words, radius).groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
+    rows = found.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
     best = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "h", "n"), key).alias("x"))
     best = materialise(best.select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"), F.col("x.n").alias("_n")), "kept")
     hashed = docs.withColumn("_text_h", _text_hash())
