@@ -25,7 +25,7 @@ from tidegraph.llm.decontaminate import words_of
 
 #: Labelled rows of each class, and bytes of each text, that the field is fitted on.
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
-#: Tokens of a training window, and most windows.
+#: Tokens of a training window, and how many are chosen: all with a toxic token, the rest (as many as those at least) clean.
 WINDOW, WINDOWS = 48, 5000
 #: Log-likelihood ratio from which a word or a beginning counts as tied to toxic texts.
 EVIDENCE = 30.0
@@ -199,9 +199,9 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 60) -> Field:
     found = toxic_features(docs, y)
     tags = [np.array([t and any(f in found for f in features(w)) for w in d], dtype=bool) for d, t in zip(docs, y.tolist(), strict=True)]
     windows = [(k, at) for k, d in enumerate(docs) for at in range(0, len(d), WINDOW)]
-    marked = [(k, at) for k, at in windows if tags[k][at : at + WINDOW].any()][: WINDOWS // 2]
+    marked = [(k, at) for k, at in windows if tags[k][at : at + WINDOW].any()]
     plain = [(k, at) for k, at in windows if not y[k]]
-    plain = plain[:: max(1, len(plain) // max(1, WINDOWS - len(marked)))]
+    plain = plain[:: max(1, len(plain) // max(1, WINDOWS - len(marked), len(marked)))]
     chosen = marked + plain
     words = [w for k, at in chosen for w in docs[k][at : at + WINDOW]]
     tag = np.concatenate([tags[k][at : at + WINDOW] for k, at in chosen]).astype(np.float64)
