@@ -100,8 +100,8 @@ def choose_pivots(points: DataFrame, rows: int) -> dict[int, np.ndarray]:
     return out
 
 
-def cell_pairs(queries: list, data: list, q_pivots: dict, d_pivots: dict, k: int) -> list[tuple[int, int, int]]:
-    """(dim, query cell, data cell) that can hold one of the k best; queries, data: (dim, cell, points, radius)."""
+def cell_pairs(queries: list, data: list, q_pivots: dict, d_pivots: dict) -> list[tuple[int, int, int]]:
+    """(dim, query cell, data cell) that can hold one of the best; queries, data: (dim, cell, points, radius), queries also how many best points they need."""
     out = []
     for dim in {q[0] for q in queries}:
         qs, ds = [q for q in queries if q[0] == dim], [d for d in data if d[0] == dim]
@@ -114,7 +114,7 @@ def cell_pairs(queries: list, data: list, q_pivots: dict, d_pivots: dict, k: int
         low, high = mid - swing - slack, mid + swing + slack
         for a in range(len(qs)):
             order = np.argsort(-low[a])
-            enough = np.searchsorted(np.cumsum(n[order]), k)
+            enough = np.searchsorted(np.cumsum(n[order]), qs[a][4])
             floor = low[a, order[enough]] if enough < len(order) else -np.inf
             out += [(dim, qs[a][1], ds[b][1]) for b in np.flatnonzero(high[a] >= floor).tolist()]
     return out
@@ -133,22 +133,26 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
     few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     points = materialise(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "points")
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
-    asks = materialise(asked.withColumn("q", F.xxhash64("v")), "asks")  # q names a query vector
-    ask_points = materialise(asks.select("q", "v").distinct(), "askpoints")
+    # q names a query vector; one of an id with several vectors stands alone, as all of them are left out for it
+    held = asked.groupBy("vec_id").agg(F.count("*").alias("m"))
+    own = F.when(F.col("m") > 1, F.col("vec_id"))
+    asks = asked.join(held, "vec_id").withColumn("own", own).withColumn("q", F.when(F.col("m") > 1, F.xxhash64("v", "vec_id")).otherwise(F.xxhash64("v")))
+    asks = materialise(asks.withColumn("need", F.col("m") + k), "asks")
+    ask_points = materialise(asks.select("q", "v", "own", "need").distinct(), "askpoints")
     d_pivots, q_pivots = choose_pivots(points, points.count()), choose_pivots(ask_points, ask_points.count())
     data = materialise(in_cells(points, d_pivots, "ids array<long>"), "data")
-    query = materialise(in_cells(ask_points, q_pivots, "q long"), "queries")
-    summary = lambda df: [tuple(r) for r in df.groupBy("dim", "cell").agg(F.count("*"), F.max("far")).collect()]
-    qs, ds = summary(query), summary(data)
-    pairs = cell_pairs(qs, ds, q_pivots, d_pivots, k + 1)
-    parts = lambda cells: {(d, c): -(-n // BLOCK) for d, c, n, _ in cells}
+    query = materialise(in_cells(ask_points, q_pivots, "q long, own long, need long"), "queries")
+    summary = lambda df, *more: [tuple(r) for r in df.groupBy("dim", "cell").agg(F.count("*"), F.max("far"), *more).collect()]
+    qs, ds = summary(query, F.max("need")), summary(data)
+    pairs = cell_pairs(qs, ds, q_pivots, d_pivots)
+    parts = lambda cells: {(d, c): -(-n // BLOCK) for d, c, n, *_ in cells}
     qn, dn = parts(qs), parts(ds)
     plan = spark.createDataFrame([(d, a, b, qn[d, a], dn[d, b]) for d, a, b in pairs], "dim long, a long, b long, qn int, dn int")
     part = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     plan = F.broadcast(plan)  # at most the square of MAX_PIVOTS small rows
     left = data.withColumnRenamed("cell", "b").join(plan, ["dim", "b"]).withColumn("j", part("dn")).withColumn("i", every_part("qn")).select("dim", "a", "b", "i", "j", "v", "ids")
-    right = query.withColumnRenamed("cell", "a").join(plan, ["dim", "a"]).withColumn("i", part("qn")).withColumn("j", every_part("dn")).select("dim", "a", "b", "i", "j", "v", "q")
+    right = query.withColumnRenamed("cell", "a").join(plan, ["dim", "a"]).withColumn("i", part("qn")).withColumn("j", every_part("dn")).select("dim", "a", "b", "i", "j", "v", "q", "own")
 
     def solve(x: pa.Table, q: pa.Table) -> pa.Table:
         empty = {"q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
@@ -159,22 +163,33 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
         flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
         point = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)
         first = flat[np.searchsorted(point, np.arange(x.num_rows))]
-        xs, qs_, names = matrix(x.column("v").to_pylist()), matrix(q.column("v").to_pylist()), q.column("q").to_numpy()
+        xs, qs_, names = matrix(x.column("v").to_pylist()), matrix(q.column("v").to_pylist()), list(zip(q.column("q").to_pylist(), q.column("own").to_pylist(), strict=True))
         begin, size = np.searchsorted(point, np.arange(x.num_rows)), np.bincount(point, minlength=x.num_rows)
         got = []
         for at in range(0, len(qs_), 256):
             s = scores(qs_[at : at + 256].reshape(-1, xs.shape[1]), xs)
-            for row, name in zip(s, names[at : at + 256].tolist(), strict=True):
-                if len(row) > k + 1:  # every point past the best k + 1 by (score, its smallest id) is beaten by as many ids
-                    edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    at_least = np.flatnonzero(row >= edge)
-                    keep = at_least[np.lexsort((first[at_least], -row[at_least]))[: k + 1]]
+            for row, (name, own) in zip(s, names[at : at + 256], strict=True):
+                least, open_ = first, np.arange(len(row))
+                if own is not None:  # points count by their other ids; those without any do not
+                    mine = first == own
+                    least = np.where(mine & (size > 1), flat[np.minimum(begin + 1, len(flat) - 1)], first)
+                    open_ = np.flatnonzero(~mine | (size > 1))
+                if len(open_) > k + 1:  # every point past the best k + 1 by (score, its smallest id) is beaten by as many ids
+                    edge = np.partition(row[open_], len(open_) - k - 1)[len(open_) - k - 1]
+                    at_least = open_[row[open_] >= edge]
+                    keep = at_least[np.lexsort((least[at_least], -row[at_least]))[: k + 1]]
                 else:
-                    keep = np.arange(len(row))
+                    keep = open_
+                if not len(keep):
+                    continue
                 where = np.concatenate([np.arange(begin[p], begin[p] + size[p]) for p in keep.tolist()])
                 sc, vid = np.repeat(row[keep], size[keep]), flat[where]
+                if own is not None:
+                    sc, vid = sc[vid != own], vid[vid != own]
                 best = np.lexsort((vid, -sc))[: k + 1]
                 got.append((np.full(len(best), name), vid[best], sc[best]))
+        if not got:
+            return pa.table(empty)
         a, b, c = (np.concatenate(z) for z in zip(*got, strict=True))
         return pa.table({"q": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
 
