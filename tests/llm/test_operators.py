@@ -342,26 +342,98 @@ def test_forward_and_expected_counts():
                 trans[a, b] += w / z
             for o, k in zip(s, y, strict=True):
                 emit[o, k] += w / z
-    assert np.allclose(m.log_probability(seqs), want) and np.allclose(m.log_probability(seqs, chunk=2), want)
-    a, b, c, total = m.expected(language_model.Packed(seqs))
-    assert np.allclose(a, start) and np.allclose(b, trans) and np.allclose(c, emit) and np.isclose(total, sum(want))
+    for size in (1, 2, 3, 1024):  # cuts change nothing
+        assert np.allclose(m.log_probability(seqs, size), want)
+        a, b, (at, c), total = m.expected(seqs, size)
+        full = np.zeros((6, 2))
+        full[at] = c
+        assert np.allclose(a, start) and np.allclose(b, trans) and np.allclose(full, emit) and np.isclose(total, sum(want))
 
 
-def test_language_model(spark, odd, empty):
-    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(200 + k, prose(50)) for k in range(60)]
+def test_spelling_mass():
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.choice(list(b"abc"), rng.integers(1, 6)).tolist()) for _ in range(200)]
+    a, b, first = language_model.Spelling.steps(words)
+    counts = np.zeros((257, 257))
+    np.add.at(counts, (a, b), 1e6)
+    sp = language_model.Spelling(counts)
+    every = [bytes(w) for n in range(1, 12) for w in itertools.product(b"abc", repeat=n)]
+    got = np.bincount([language_model.word_class(w, 4) for w in every], weights=10 ** sp.log10(every), minlength=4)
+    mass = sp.mass(4)
+    assert np.isclose(mass.sum(), 1) and (got <= mass + 1e-9).all() and got.sum() > 0.8
+    one = float(np.prod([sp.p[x, y] for x, y in ((256, 97), (97, 98), (98, 256))]))
+    assert np.isclose(10 ** sp.log10([b"ab"])[0], one)
+
+
+def test_language_model(spark, odd, empty, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(200 + k, prose(50) + f" rare{k % 40} once{k}") for k in range(60)]
+    models = []
+    maximise = language_model.maximise
+    monkeypatch.setattr(language_model, "maximise", lambda *a: models.append(maximise(*a)) or models[-1])
     got = language_model.score_texts(docs(spark, rows), head=8, least=2, classes=4).collect()
     tok = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     c = Counter(w for i, t in rows if not held(i) for w in tok(t))
     n, v = sum(c.values()), len(c)
     base = lambda t: float(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)))
-    key = lambda x: (x[0] is not None, x)
     want = sorted(((i, held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(base(t), 6)) for i, t in rows), key=str)
-    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == want and key
-    assert all(r["score"] < 0 for r in got)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == want
+    # the score, from the final model and counts, one step at a time
+    m = models[-1]
+    ordered = sorted(c, key=lambda w: (-c[w], w))
+    (head,) = {tuple(h) for f in set(c.values()) if len(h := [w for w in ordered if c[w] >= f or w == b""]) + 4 == len(m.emit)}
+    assert len(head) <= 9
+    tail = [w for w in c if w not in head]
+    a, b, _ = language_model.Spelling.steps(tail)
+    counts = np.zeros((257, 257))
+    np.add.at(counts, (a, b), 1)
+    sp = language_model.Spelling(counts)
+    z = sp.mass(4)
+
+    def within(w):
+        k = language_model.word_class(w, 4)
+        mine = [c[x] for x in tail if language_model.word_class(x, 4) == k]
+        q = 10 ** float(sp.log10([w])[0]) / z[k]
+        if not mine:
+            return q
+        n1, n2 = mine.count(1), mine.count(2)
+        d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+        free = d * len(mine) / sum(mine) * q
+        return (c[w] - d) / sum(mine) + free if c[w] else min(free, (1 - d) / sum(mine))
+
+    def brute(t):
+        x, log = None, 0.0
+        for w in tok(t):
+            k = head.index(w) if w in head else len(head) + language_model.word_class(w, 4)
+            x = (m.pi if x is None else x @ m.trans) * m.emit[k]
+            log += np.log10(x.sum()) + (0.0 if w in head else np.log10(within(w)))
+            x = x / x.sum()
+        return log
+
+    few = [(i, t) for i, t in rows if len(t or "") < 2000]
+    want = sorted((str(i), round(brute(t), 4)) for i, t in few)
+    ids = {i for i, _ in few}
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got if r["doc_id"] in ids and r["n_tokens"] < 500 and (r["doc_id"] != 9)) == want
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_unknown_words_cost_more(spark):
+    """Random strings score below held-out prose, held-out prose not above training prose, and an unseen word below a rare one."""
+    rng = random.Random(5)
+    syllables = ["ba", "ne", "ti", "ro", "su", "la", "mi", "ko", "de", "ran", "tel", "sor"]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    weights = [1 / (k + 1) for k in range(len(lexicon))]
+    text = lambda: " ".join(rng.choices(lexicon, weights, k=80))
+    rows = [(k, text()) for k in range(400)]
+    held = [k for k in range(1000, 3000) if zlib.crc32(str(k).encode()) % 7 == 2][:12]
+    noise = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(80))
+    rows += [(i, noise()) for i in held[:6]]
+    got = {r["doc_id"]: r for r in language_model.score_texts(docs(spark, rows)).collect()}
+    per = lambda keep: float(np.mean([r["score"] / r["n_tokens"] for r in got.values() if keep(r)]))
+    train, prose_out = per(lambda r: not r["held_out"]), per(lambda r: r["held_out"] and r["doc_id"] < 1000)
+    assert max(got[i]["score"] / got[i]["n_tokens"] for i in held[:6]) < prose_out - 1 and prose_out <= train
+
+
 # 8
 
 
