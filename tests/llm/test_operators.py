@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, and their defined results for odd rows."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -307,13 +308,43 @@ def test_quality(spark, odd, empty):
     got = {r["doc_id"]: r for r in quality.resample(d, lab).collect()}
     assert all(got[k]["selected"] == (k % 5 != 0) for k in range(400))
     assert {r["doc_id"] for r in quality.keep_good(d, lab).collect()} == {k for k in range(400) if k % 5}
-    assert quality.resample(d, lab, k=17).where("selected").count() == 17
+    few = {r["doc_id"]: r for r in quality.resample(d, lab, k=117).collect()}
+    assert sum(r["selected"] for r in few.values()) == 117
+    # weights, keys and the choice, from plain counts
+    buckets = {k: quality.ngrams(t.encode(), quality.Hashes()).tolist() for k, t in rows}
+    fit = {r["doc_id"] for r in quality.label_rows(lab).where("good").collect()} & set(buckets)
+    raw, target = Counter(b for k in buckets for b in buckets[k]), Counter(b for k in fit for b in buckets[k])
+    n_raw, n_target = sum(raw.values()) + 1e-3 * quality.BUCKETS, sum(target.values())
+    p_raw = lambda b: (raw[b] + 1e-3) / n_raw
+    ratio = {b: (target[b] + quality.PRIOR) / (n_target * p_raw(b) + quality.PRIOR) for b in range(quality.BUCKETS)}
+    total = sum(ratio[b] * p_raw(b) for b in ratio)
+    weight = {k: sum(math.log(ratio[b] / total) for b in bs) for k, bs in buckets.items()}
+    key = {k: weight[k] + quality.gumbel(k, t.encode(), quality.SEED) for k, t in rows}
+    assert fit and all(abs(few[k]["weight"] - weight[k]) < 1e-6 and abs(few[k]["key"] - key[k]) < 1e-6 for k in key)
+    best = lambda by: set(sorted(by, key=by.get)[-117:])
+    assert {k for k, r in few.items() if r["selected"]} == best(key) != best(weight)
     assert quality.resample(odd, lab).count() == odd.count()
     assert quality.resample(odd, lab.limit(0)).where("selected").count() == odd.count()
     assert quality.keep_good(odd, lab.limit(0)).columns == odd.columns
     assert quality.resample(empty, lab).count() == 0
 
 
+def test_draws_in_proportion():
+    weight = np.array([0.5, 1.0, 2.0, 4.0])
+    texts = [(k, prose(5 + k).encode()) for k in range(4)]
+    draws = [int(np.argmax([np.log(w) + quality.gumbel(k, t, seed) for w, (k, t) in zip(weight, texts, strict=True)])) for seed in range(20_000)]
+    assert np.allclose(np.bincount(draws) / 20_000, weight / weight.sum(), atol=0.012)
+
+
+def test_quality_clashing_names(spark, odd, empty):
+    lab = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    d = odd.withColumns({"_weight": F.lit("w"), "_key": F.lit(1), "Selected": F.lit(2)})
+    out = quality.keep_good(d, lab)
+    assert out.columns == d.columns
+    assert quality.keep_good(d, lab, k=5).count() >= 5 and quality.keep_good(d, lab, k=0).count() == 0
+    assert quality.keep_good(empty, lab).count() == 0
+
+
 def test_kth_largest(spark):
     rnd = random.Random(8)
     values = [rnd.choice([rnd.random(), 0.5, rnd.random() * 1e-9]) for _ in range(3000)]
