@@ -468,18 +468,14 @@ def test_unknown_words_cost_more(spark):
 # 8
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.normal(size=4)], 0) for k in range(150)]
     rows += [(200 + k, [0.5, 0.5, 0.5, 0.5], 1) for k in range(60)]
     rows += [(1000, None, 1), (None, [1.0, 1.0, 1.0, 1.0], 1), (1020, [float("nan"), 1.0, 1.0, 1.0], 1), (1040, [1.0, None, 1.0, 1.0], 1), (1060, [1.0, 2.0], 1), (1080, [3.0, 1.0], 1), rows[20], (40, [9.0, 9.0, 9.0, 9.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    old = neighbours.CELL, neighbours.BLOCK
-    neighbours.CELL, neighbours.BLOCK = 20, 16
-    try:
-        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.top_k(df, k=7).collect())
-    finally:
-        neighbours.CELL, neighbours.BLOCK = old
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.top_k(df, k=7).collect())
     ok = {(i, tuple(int(np.floor(np.float64(np.float32(x)) * 64)) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for i, q in ok:
@@ -491,6 +487,28 @@ def test_neighbours(spark):
     assert neighbours.scores(np.array([[2**40]]), np.array([[2**40]])).tolist() == [[neighbours.LIMIT]]
 
 
+def test_neighbours_prune_clusters(spark, monkeypatch):
+    """On clustered vectors most pairs of groups and cells go; the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(30, 8)) * 5
+    v = np.concatenate([c + rng.normal(size=(40, 8)) * 0.05 for c in centre])
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    out, plan = neighbours.search(df, k=5)
+    q = np.floor(v * 64).astype(np.int64)
+    want = []
+    for i in range(0, len(q), 20):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(len(q)), -s)).tolist() if j != i][:5]
+        want += [(i, k + 1, j, int(s[j])) for k, j in enumerate(order)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()) == want
+    pairs = plan.collect()
+    asked, dealt = sum(r["asked"] * r["points"] for r in pairs), sum(r["points"] for r in pairs)
+    groups = {r["g"] for r in pairs}
+    assert len(groups) > 3 and len({r["b"] for r in pairs}) > 20
+    assert asked < 0.3 * 60 * len(v) and dealt < 0.7 * len(groups) * len(v)  # pairs that are solved, and vectors that are replicated
+
+
 # 9
 
 

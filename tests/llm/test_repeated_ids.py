@@ -6,9 +6,8 @@ import pytest
 from tidegraph.llm import neighbours
 
 
-@pytest.mark.parametrize("cell, block", [(4096, 8192), (20, 16)])
-def test_many_vectors_of_one_id(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(neighbours, "CELL", cell)
+@pytest.mark.parametrize("block", [8192, 16])
+def test_many_vectors_of_one_id(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "BLOCK", block)
     rng = np.random.default_rng(8)
     rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(1, 90)]

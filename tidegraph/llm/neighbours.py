@@ -1,19 +1,24 @@
 """Exact top-k by integer inner product: a Voronoi kNN join.
 
 Equal vectors are one point that carries its smallest ids, so a very common vector costs no more than a rare one.
-Points and queries go to the cell of their nearest pivot. Summaries of the cells (size, radius, pivot) bound every
-inner product between a query cell and a data cell; a data cell whose upper bound lies below what the summaries
-already guarantee a query cell is not read for it. What remains is dealt as pairs of blocks of bounded size, solved
-locally by one matrix product, and merged by a top-k that is cut before its shuffle.
+About sqrt(n) pivots cut points and queries into cells. Two passes follow. The first solves each query against a block of
+the cell with the highest inner product to its pivot, which proves a floor: a score that its k-th best reaches. The
+second bounds each query against each cell from the cell's summary (points, radius, longest vector), and a cell whose
+bound lies below the floor is not read for that query. Queries of neighbouring cells form groups of about BLOCK; a data
+cell is replicated only to groups of which some query needs it. Within a group, a query meets only the cells that it
+needs. Blocks of bounded size are solved locally by matrix products and merged by a top-k that is cut before its shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidegraph.llm.common import materialise, table
@@ -21,11 +26,11 @@ from tidegraph.llm.common import materialise, table
 SCALE = 64
 K = 20
 QUERY_EVERY = 20
-#: Points that a cell should hold, and the most that a block of one holds.
-CELL = 4096
+#: Points or queries of a block, about.
 BLOCK = 8192
-#: Most pivots, and so most summaries: they go to the driver, and their pairs are bounded by the square.
-MAX_PIVOTS = 1024
+#: Most pivots for each number of components, and so most summaries that the driver and every worker hold; more points
+#: make larger cells, which are cut into blocks.
+MAX_PIVOTS = 2048
 LIMIT = 1 << 62
 
 
@@ -71,52 +76,111 @@ def nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.sqrt(((f - p[cell]) ** 2).sum(1))
 
 
-def in_cells(points: DataFrame, pivots: dict[int, np.ndarray], extra: str, block: int = BLOCK) -> DataFrame:
-    """Add cell and distance; `extra` is the schema of the columns besides v. pivots: by number of components."""
+def by_dim(values: list[bytes], dims: np.ndarray):
+    """(number of components, places, matrix) of vectors."""
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == d)
+        yield d, at, matrix([values[k] for k in at.tolist()]).reshape(len(at), d)
+
+
+def in_cells(points: DataFrame, pivots: dict[int, np.ndarray], extra: str) -> DataFrame:
+    """Add cell, distance and length; `extra` is the schema of the columns besides v. pivots: by number of components."""
     sent = points.sparkSession.sparkContext.broadcast(pivots)
     names = [c.strip().split(" ")[0] for c in extra.split(",")]
 
     def run(batches):
         for batch in batches:
             values = batch.column("v").to_pylist()
-            cell, far = np.zeros(len(values), np.int64), np.zeros(len(values))
-            dims = np.array([len(v) // 8 for v in values])
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                cell[at], far[at] = nearest(matrix([values[k] for k in at.tolist()]).reshape(len(at), d), sent.value[d])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [batch.column("v"), pa.array(dims, pa.int64()), pa.array(cell), pa.array(far)], names=[*names, "v", "dim", "cell", "far"])
+            dims = np.array([len(v) // 8 for v in values], dtype=np.int64)
+            cell, far, size = np.zeros(len(values), np.int64), np.zeros(len(values)), np.zeros(len(values))
+            for d, at, v in by_dim(values, dims):
+                cell[at], far[at] = nearest(v, sent.value[d])
+                size[at] = np.linalg.norm(v.astype(np.float64), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [batch.column("v"), *map(pa.array, (dims, cell, far, size))], names=[*names, "v", "dim", "cell", "far", "size"])
 
-    return points.select(*names, "v").mapInArrow(run, f"{extra}, v binary, dim long, cell long, far double")
+    return points.select(*names, "v").mapInArrow(run, f"{extra}, v binary, dim long, cell long, far double, size double")
 
 
-def choose_pivots(points: DataFrame, rows: int) -> dict[int, np.ndarray]:
-    """The vectors with the smallest hashes, one for about CELL points, by number of components."""
-    n = int(min(MAX_PIVOTS, max(1, rows // CELL)))
+def choose_pivots(points: DataFrame, most: int = MAX_PIVOTS) -> dict[int, np.ndarray]:
+    """About sqrt(n) of the n vectors, those with the smallest hashes, by number of components; at most `most`."""
     out: dict[int, np.ndarray] = {}
-    dims = [r[0] for r in points.select((F.octet_length("v") / 8).cast("long").alias("d")).distinct().collect()]
-    for d in dims:
+    dims = points.groupBy((F.octet_length("v") / 8).cast("long").alias("d")).agg(F.count("*").alias("n")).collect()
+    for d, rows in dims:
+        n = int(min(most, max(1, math.isqrt(rows))))
         got = points.where(F.octet_length("v") == 8 * d).orderBy(F.xxhash64("v"), "v").limit(n).collect()
         out[d] = np.array([np.frombuffer(bytes(r["v"]), dtype="<i8") for r in got], dtype=np.int64).reshape(len(got), d)
     return out
 
 
-def cell_pairs(queries: list, data: list, q_pivots: dict, d_pivots: dict) -> list[tuple[int, int, int]]:
-    """(dim, query cell, data cell) that can hold one of the best; queries, data: (dim, cell, points, radius), queries also how many best points they need."""
-    out = []
-    for dim in {q[0] for q in queries}:
-        qs, ds = [q for q in queries if q[0] == dim], [d for d in data if d[0] == dim]
-        p = q_pivots[dim].astype(np.float64)[[q[1] for q in qs]]
-        s = d_pivots[dim].astype(np.float64)[[d[1] for d in ds]]
-        rq, rd, n = np.array([q[3] for q in qs]), np.array([d[3] for d in ds]), np.array([d[2] for d in ds])
-        mid = p @ s.T
-        swing = rq[:, None] * np.linalg.norm(s, axis=1)[None, :] + np.linalg.norm(p, axis=1)[:, None] * rd[None, :] + rq[:, None] * rd[None, :]
-        slack = 1e-9 * (np.abs(mid) + swing) + 1e-6
-        low, high = mid - swing - slack, mid + swing + slack
-        for a in range(len(qs)):
-            order = np.argsort(-low[a])
-            enough = np.searchsorted(np.cumsum(n[order]), qs[a][4])
-            floor = low[a, order[enough]] if enough < len(order) else -np.inf
-            out += [(dim, qs[a][1], ds[b][1]) for b in np.flatnonzero(high[a] >= floor).tolist()]
+class Cells:
+    """Summaries of the data cells of one number of components: pivot, points, radius and longest vector of each."""
+
+    def __init__(self, pivots: np.ndarray, rows: list):
+        rows = sorted(rows, key=lambda r: r[0])
+        self.cell = np.array([r[0] for r in rows], dtype=np.int64)
+        self.points, self.radius, self.longest = (np.array([r[k] for r in rows], dtype=np.float64) for k in (1, 2, 3))
+        self.pivot = pivots.astype(np.float64)[self.cell]
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """What no point of a cell exceeds, for each query and cell; rounded up."""
+        f = q.astype(np.float64)
+        mid, size = f @ self.pivot.T, np.linalg.norm(f, axis=1)[:, None]
+        most = np.minimum(mid + size * self.radius, size * self.longest)
+        return most + 1e-9 * (np.abs(mid) + size * (self.radius + self.longest)) + 1e-6
+
+    def seeds(self, q: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The cell with the highest inner product to its pivot among those with at least `need` points; else the largest cell."""
+        mid = q.astype(np.float64) @ self.pivot.T
+        mid[self.points[None, :] < need[:, None]] = -np.inf
+        best = np.where(np.isfinite(mid).any(1), mid.argmax(1), self.points.argmax())
+        return self.cell[best]
+
+
+def add_seeds(queries: DataFrame, cells) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            need, b = batch.column("need").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for d, at, q in by_dim(batch.column("v").to_pylist(), batch.column("dim").to_numpy()):
+                b[at] = cells.value[d].seeds(q, need[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b)], names=[*batch.schema.names, "b"])
+
+    return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("b", T.LongType())]))
+
+
+def needed_cells(queries: DataFrame, cells) -> DataFrame:
+    """(dim, group, b, asked): the data cells that some query of a group cannot rule out, and how many of its queries cannot."""
+
+    def run(batches):
+        for batch in batches:
+            group, floor, out = batch.column("g").to_numpy(), batch.column("floor").to_numpy(zero_copy_only=False), []
+            for d, at, q in by_dim(batch.column("v").to_pylist(), batch.column("dim").to_numpy()):
+                open_ = cells.value[d].bounds(q) >= floor[at][:, None]
+                for g in np.unique(group[at]).tolist():
+                    n = open_[group[at] == g].sum(0)
+                    out += [(d, g, int(cells.value[d].cell[k]), int(n[k])) for k in np.flatnonzero(n).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["dim", "g", "b", "asked"])
+
+    return queries.select("dim", "g", "v", "floor").mapInArrow(run, "dim long, g long, b long, asked long").groupBy("dim", "g", "b").agg(F.sum("asked").alias("asked"))
+
+
+def groups_of(cells: list, block: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(dim, query cell) to (first group, groups): small cells share a group, and a large one is dealt over several.
+
+    cells: (dim, cell, queries, pivot); neighbours stand together, as cells are ordered by their pivot's nearest of a few.
+    """
+    out, at, held = {}, 0, 0
+    for dim in sorted({c[0] for c in cells}):
+        mine = [c for c in cells if c[0] == dim]
+        few = np.stack([c[3] for c in mine[: max(1, math.isqrt(len(mine)))]]).astype(np.float64)
+        near, _ = nearest(np.stack([c[3] for c in mine]), few)
+        at, held = at + (held > 0), 0
+        for k in np.argsort(near, kind="stable").tolist():
+            _, cell, n, _ = mine[k]
+            if held and held + n > block:
+                at, held = at + 1, 0
+            parts = -(-n // block)
+            out[dim, cell] = (at, parts)
+            at, held = (at + parts, 0) if parts > 1 else (at, held + n)
     return out
 
 
@@ -128,6 +192,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
     and its vector count once; a query is never its own neighbour, by id. Fewer candidates than k are all returned;
     an empty table gives no rows. Scores are exact; one past a long is held at its end. Other columns are ignored.
     """
+    return search(vectors, k, every, scale)[0]
+
+
+def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
+    """What `top_k` returns, and (dim, g, b, asked, queries, points): the pairs of query groups and data cells that are solved."""
     spark = vectors.sparkSession
     rows = materialise(quantise(vectors, scale), "vectors")
     few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
@@ -138,69 +207,108 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
     own = F.when(F.col("m") > 1, F.col("vec_id"))
     asks = asked.join(held, "vec_id").withColumn("own", own).withColumn("q", F.when(F.col("m") > 1, F.xxhash64("v", "vec_id")).otherwise(F.xxhash64("v")))
     asks = materialise(asks.withColumn("need", F.col("m") + k), "asks")
-    ask_points = materialise(asks.select("q", "v", "own", "need").distinct(), "askpoints")
-    d_pivots, q_pivots = choose_pivots(points, points.count()), choose_pivots(ask_points, ask_points.count())
-    data = materialise(in_cells(points, d_pivots, "ids array<long>"), "data")
-    query = materialise(in_cells(ask_points, q_pivots, "q long, own long, need long"), "queries")
-    summary = lambda df, *more: [tuple(r) for r in df.groupBy("dim", "cell").agg(F.count("*"), F.max("far"), *more).collect()]
-    qs, ds = summary(query, F.max("need")), summary(data)
-    pairs = cell_pairs(qs, ds, q_pivots, d_pivots)
-    parts = lambda cells: {(d, c): -(-n // BLOCK) for d, c, n, *_ in cells}
-    qn, dn = parts(qs), parts(ds)
-    plan = spark.createDataFrame([(d, a, b, qn[d, a], dn[d, b]) for d, a, b in pairs], "dim long, a long, b long, qn int, dn int")
-    part = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
-    every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    plan = F.broadcast(plan)  # at most the square of MAX_PIVOTS small rows
-    left = data.withColumnRenamed("cell", "b").join(plan, ["dim", "b"]).withColumn("j", part("dn")).withColumn("i", every_part("qn")).select("dim", "a", "b", "i", "j", "v", "ids")
-    right = query.withColumnRenamed("cell", "a").join(plan, ["dim", "a"]).withColumn("i", part("qn")).withColumn("j", every_part("dn")).select("dim", "a", "b", "i", "j", "v", "q", "own")
-
-    def solve(x: pa.Table, q: pa.Table) -> pa.Table:
-        empty = {"q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
-        if not x.num_rows or not q.num_rows:
-            return pa.table(empty)
-        ids = x.column("ids").combine_chunks()
-        ids = ids if isinstance(ids, pa.ListArray) else ids.chunk(0)
-        flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
-        point = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)
-        first = flat[np.searchsorted(point, np.arange(x.num_rows))]
-        xs, qs_, names = matrix(x.column("v").to_pylist()), matrix(q.column("v").to_pylist()), list(zip(q.column("q").to_pylist(), q.column("own").to_pylist(), strict=True))
-        begin, size = np.searchsorted(point, np.arange(x.num_rows)), np.bincount(point, minlength=x.num_rows)
-        got = []
-        for at in range(0, len(qs_), 256):
-            s = scores(qs_[at : at + 256].reshape(-1, xs.shape[1]), xs)
-            for row, (name, own) in zip(s, names[at : at + 256], strict=True):
-                least, open_ = first, np.arange(len(row))
-                if own is not None:  # points count by their other ids; those without any do not
-                    mine = first == own
-                    least = np.where(mine & (size > 1), flat[np.minimum(begin + 1, len(flat) - 1)], first)
-                    open_ = np.flatnonzero(~mine | (size > 1))
-                if len(open_) > k + 1:  # every point past the best k + 1 by (score, its smallest id) is beaten by as many ids
-                    edge = np.partition(row[open_], len(open_) - k - 1)[len(open_) - k - 1]
-                    at_least = open_[row[open_] >= edge]
-                    keep = at_least[np.lexsort((least[at_least], -row[at_least]))[: k + 1]]
-                else:
-                    keep = open_
-                if not len(keep):
-                    continue
-                where = np.concatenate([np.arange(begin[p], begin[p] + size[p]) for p in keep.tolist()])
-                sc, vid = np.repeat(row[keep], size[keep]), flat[where]
-                if own is not None:
-                    sc, vid = sc[vid != own], vid[vid != own]
-                best = np.lexsort((vid, -sc))[: k + 1]
-                got.append((np.full(len(best), name), vid[best], sc[best]))
-        if not got:
-            return pa.table(empty)
-        a, b, c = (np.concatenate(z) for z in zip(*got, strict=True))
-        return pa.table({"q": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
-
-    key = ["dim", "a", "b", "i", "j"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(solve, "q long, vec_id long, score long")
+    pivots = choose_pivots(points)
+    data = materialise(in_cells(points, pivots, "ids array<long>"), "data")
+    ask_points = asks.select("q", "v", "own", "need").distinct()
+    query = materialise(in_cells(ask_points, pivots, "q long, own long, need long"), "queries")
+    summary: dict[int, list] = {}
+    for dim, *row in data.groupBy("dim", "cell").agg(F.count("*"), F.max("far"), F.max("size")).collect():  # at most MAX_PIVOTS a number of components
+        summary.setdefault(dim, []).append(row)
+    cells = spark.sparkContext.broadcast({d: Cells(pivots[d], r) for d, r in summary.items()})
+    asked_cells = [(d, c, n, pivots[d][c]) for d, c, n in query.groupBy("dim", "cell").agg(F.count("*")).orderBy("dim", "cell").collect()]
+    groups = groups_of(asked_cells, BLOCK)
+    sizes = [(d, c, n, -(-n // BLOCK)) for d, rs in summary.items() for c, n, *_ in rs]
+    cut = F.broadcast(spark.createDataFrame(sizes, "dim long, b long, points long, dn int"))  # a row a data cell
+    deal = F.broadcast(spark.createDataFrame([(d, c, g, n) for (d, c), (g, n) in groups.items()], "dim long, cell long, first long, gn int"))  # a row a query cell
+    part = lambda n, by: F.pmod(F.xxhash64(by, F.lit("part")), F.col(n)).cast("int")
+    dealt = data.withColumnRenamed("cell", "b").join(cut, ["dim", "b"]).withColumn("j", part("dn", "v")).select("dim", "b", "j", "v", "ids")
+    query = query.join(deal, ["dim", "cell"]).withColumn("g", F.col("first") + part("gn", "q")).select("dim", "g", "v", "q", "own", "need")
+
+    def solve(x: pa.Table, q: pa.Table, floors: bool) -> pa.Table:
+        """The best of each query in a block of a cell; or the floor that the block proves."""
+        names = ["q", "floor"] if floors else ["q", "vec_id", "score"]
+        got: list = []
+        if x.num_rows and q.num_rows:
+            d, b = x.column("dim")[0].as_py(), x.column("b")[0].as_py()
+            queries, keep = matrix(q.column("v").to_pylist()).reshape(q.num_rows, d), np.arange(q.num_rows)
+            if not floors:
+                c = cells.value[d]
+                keep = np.flatnonzero(c.bounds(queries)[:, np.searchsorted(c.cell, b)] >= q.column("floor").to_numpy())
+            ids = x.column("ids").combine_chunks()
+            ids = ids if isinstance(ids, pa.ListArray) else ids.chunk(0)
+            block = Block(matrix(x.column("v").to_pylist()).reshape(x.num_rows, d), pc.list_flatten(ids).to_numpy(zero_copy_only=False), pc.list_parent_indices(ids).to_numpy(zero_copy_only=False))
+            label, own, need = (q.column(n).to_pylist() for n in ("q", "own", "need"))
+            for at in range(0, len(keep), 256):
+                some = keep[at : at + 256]
+                for row, j in zip(scores(queries[some], block.v), some.tolist(), strict=True):
+                    if floors:
+                        if (found := block.floor(row, own[j], need[j])) is not None:
+                            got.append((np.array([label[j]]), np.array([found])))
+                    else:
+                        vid, sc = block.best(row, own[j], k)
+                        got.append((np.full(len(vid), label[j]), vid, sc))
+        columns = [np.concatenate(z) for z in zip(*got, strict=True)] if got else [[] for _ in names]
+        return pa.table({n: pa.array(z, pa.float64() if n == "floor" else pa.int64()) for n, z in zip(names, columns, strict=True)})
+
+    # first pass: any block of a good cell proves a floor
+    first = dealt.where("j = 0").select("dim", "b", "v", "ids")
+    seeded = add_seeds(query, cells)
+    n_seeds = F.broadcast(materialise(seeded.groupBy("dim", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sn")), "seeds"))  # a row a data cell at most
+    lots = seeded.join(n_seeds, ["dim", "b"]).withColumn("i", part("sn", "q")).select("dim", "b", "i", "v", "q", "own", "need")
+    held_out = first.join(n_seeds, ["dim", "b"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sn") - 1))).select("dim", "b", "i", "v", "ids")
+    key = ["dim", "b", "i"]
+    floors = held_out.groupBy(*key).cogroup(lots.groupBy(*key)).applyInArrow(lambda x, q: solve(x, q, True), "q long, floor double")
+    query = materialise(query.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
+    # second pass: the cells that the floors leave
+    plan = materialise(needed_cells(query, cells).join(cut, ["dim", "b"]).join(query.groupBy("dim", "g").agg(F.count("*").alias("queries")), ["dim", "g"]), "pairs")
+    pairs = plan.select("dim", "g", "b", "dn")
+    left = dealt.join(pairs.drop("dn"), ["dim", "b"]).select("dim", "g", "b", "j", "v", "ids")
+    right = query.join(pairs, ["dim", "g"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("dn") - 1))).select("dim", "g", "b", "j", "v", "q", "own", "need", "floor")
+    key = ["dim", "g", "b", "j"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda x, q: solve(x, q, False), "q long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
     out = asks.select(F.col("vec_id").alias("query_id"), "q").join(lists, "q")
     mine = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return out.select("query_id", F.posexplode(mine).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    return out.select("query_id", F.posexplode(mine).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score"), plan
+
+
+class Block:
+    """Points of a cell: vectors, and their ids side by side, in ascending order within a point."""
+
+    def __init__(self, v: np.ndarray, flat: np.ndarray, point: np.ndarray):
+        self.v, self.flat = v, flat
+        self.begin, self.size = np.searchsorted(point, np.arange(len(v))), np.bincount(point, minlength=len(v))
+        self.first = flat[self.begin]
+
+    def others(self, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(points with an id other than `own`, the smallest such id of every point)."""
+        if own is None:
+            return np.arange(len(self.v)), self.first
+        mine = self.first == own
+        least = np.where(mine & (self.size > 1), self.flat[np.minimum(self.begin + 1, len(self.flat) - 1)], self.first)
+        return np.flatnonzero(~mine | (self.size > 1)), least
+
+    def floor(self, row: np.ndarray, own: int | None, need: int) -> float | None:
+        """The need-th best score; none where there are fewer, or where it is held at the end of a long and so proves nothing."""
+        open_, _ = self.others(own)
+        found = int(np.partition(row[open_], len(open_) - need)[len(open_) - need]) if len(open_) >= need else -LIMIT
+        return float(found) if found > -LIMIT else None
+
+    def best(self, row: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k + 1 ids by (score, id)."""
+        keep, least = self.others(own)
+        if len(keep) > k + 1:  # every point past the best k + 1 by (score, its smallest id) is beaten by as many ids
+            edge = np.partition(row[keep], len(keep) - k - 1)[len(keep) - k - 1]
+            at_least = keep[row[keep] >= edge]
+            keep = at_least[np.lexsort((least[at_least], -row[at_least]))[: k + 1]]
+        where = np.concatenate([np.arange(self.begin[p], self.begin[p] + self.size[p]) for p in keep.tolist()] or [np.zeros(0, np.int64)])
+        sc, vid = np.repeat(row[keep], self.size[keep]), self.flat[where]
+        if own is not None:
+            sc, vid = sc[vid != own], vid[vid != own]
+        best = np.lexsort((vid, -sc))[: k + 1]
+        return vid[best], sc[best]
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
