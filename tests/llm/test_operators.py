@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -62,18 +63,32 @@ def brute_contamination(rows, items, window=10):
                 if (k := tuple(w[p : p + m])) in wins:
                     hit |= set(range(p, p + m))
                     found |= wins[k]
-        out.append((i, len(w), len(hit), len(found)))
+        out.append((i, len(w), len(hit), len(found), longest_match(w, [words(x) for _, x in items], window)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 200])
+def longest_match(w, items, window):
+    best = 0
+    for iw in filter(None, items):
+        m = min(window, len(iw))
+        at = {}
+        for j in range(len(iw) - m + 1):
+            at.setdefault(tuple(iw[j : j + m]), []).append(j)
+        run = {}
+        for p in range(len(w) - m + 1):
+            run = {j: run.get(j - 1, m - 1) + 1 for j in at.get(tuple(w[p : p + m]), [])}
+            best = max([best, *run.values()])
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 1500])
 def test_contamination(spark, odd, block_bytes):
     b = BASE[4].split()
     items = [(1, " ".join(b[10:40]).upper().replace("ÜBER", "Über")), (2, " ".join(b[30:45])), (3, "alpha Beta"), (None, BASE[1]), (5, None), (6, ""), (7, " ".join(b[12:17])), (2, " ".join(b[30:45]))]
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     got = decontaminate.find_contamination(odd, bench, block_bytes=block_bytes).collect()
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got), key=str) == brute_contamination(rows, items)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], max([0, *(m["n_words"] for m in r["matches"])])) for r in got), key=str) == brute_contamination(rows, items)
     best = {m["item_id"]: m["n_words"] for r in got if r["doc_id"] == 104 for m in r["matches"]}
     assert best["1"] == 30 and best["2"] == 15
     kept = decontaminate.remove_contaminated(odd, bench)
@@ -81,6 +96,39 @@ def test_contamination(spark, odd, block_bytes):
     assert kept.count() == sum(not r["contaminated"] for r in got)
 
 
+@pytest.mark.parametrize("pairs", [1 << 21, 30])
+def test_contamination_shared_passages(spark, monkeypatch, pairs):
+    """Items that share a passage, and documents that repeat it; matches are those of brute force however few pairs are joined at a time."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rnd = random.Random(4)
+    shared = prose(25, rnd)
+    items = [(str(k), f"{prose(k % 4, rnd)} {shared} {prose(k % 7, rnd)}") for k in range(30)] + [("short", "alpha beta gamma")]
+    rows = [(1, f"x {shared} y {shared} z {items[3][1]}"), (2, " ".join(shared.split()[:12])), (3, items[5][1] + " " + items[6][1]), (4, "alpha beta gamma alpha beta gamma"), (5, shared.split()[0])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.find_contamination(docs(spark, rows), bench).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], max([0, *(m["n_words"] for m in r["matches"])])) for r in got), key=str) == brute_contamination(rows, items)
+    words = {i: t.split() for i, t in items}
+    for r in got:
+        w = dict(rows)[r["doc_id"]].split()
+        assert len(r["matches"]) == r["n_items"]
+        for m in r["matches"]:
+            piece = words[m["item_id"]][m["item_start"] : m["item_start"] + m["n_words"]]
+            assert [x.lower() for x in piece] == [x.lower() for x in w[m["doc_start"] : m["doc_start"] + m["n_words"]]]
+            assert m["n_words"] == longest_match([x.lower() for x in w], [[x.lower() for x in words[m["item_id"]]]], 10)
+
+
+def test_block_size():
+    """A block of 8 MB of benchmark text stays small as an object, and blocks keep to the bytes they are given."""
+    rnd = random.Random(6)
+    lexicon = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9))) for _ in range(60_000)]
+    items = [(k, " ".join(rnd.choices(lexicon, k=1000)).encode()) for k in range(1150)]
+    assert sum(len(t) for _, t in items) > 7_500_000
+    size = [len(pickle.dumps(b)) for b in decontaminate.build_blocks(items, 10, 1 << 30)]
+    assert len(size) == 1 and size[0] < 40_000_000
+    cut = [len(pickle.dumps(b)) for b in decontaminate.build_blocks(items, 10, 10_000_000)]
+    assert len(cut) > 2 and max(cut) <= 10_000_000
+
+
 def test_contamination_empty(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(odd, bench).where("contaminated").count() == 0
