@@ -27,8 +27,8 @@ from tidegraph.llm.decontaminate import words_of
 SAMPLE, SAMPLE_BYTES = 2500, 20_000
 #: Tokens of a training window, and how many are chosen: all with a toxic token, the rest (as many as those at least) clean.
 WINDOW, WINDOWS = 48, 5000
-#: Log-likelihood ratio from which a word or a beginning counts as tied to toxic texts.
-EVIDENCE = 30.0
+#: Log-likelihood ratio, and how many times as frequent in toxic texts, from which a word or a beginning counts as tied to them.
+EVIDENCE, LIFT = 20.0, 8
 BUCKETS = 1 << 18
 #: Lengths of the beginnings that are features, in bytes.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -180,7 +180,7 @@ def toxic_features(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     out = set()
     for f, a in c1.items():
         b = c0.get(f, 0)
-        if a * n0 < 20 * b * n1:
+        if a * n0 < LIFT * b * n1:
             continue
         c, d, n = n1 - a, n0 - b, n1 + n0
         g2 = 2 * sum(x * np.log(x * n / (r * s)) for x, r, s in ((a, a + b, n1), (b, a + b, n0), (c, c + d, n1), (d, c + d, n0)) if x)
@@ -246,13 +246,13 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 60) -> Field:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, fold: int, held: int, rows: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most `rows` texts of each class, of labelled rows outside the held-out fold: those with the smallest hashes."""
+    """At most `rows` texts of each class, of labelled rows outside the held-out fold: those with the smallest hashes. Of several texts of an id the least counts."""
     known = labels.where("doc_id is not null and toxic is not null").where(crc_mod("doc_id", fold) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
     picked = [known.where(F.col("toxic") > 0), known.where(F.col("toxic") <= 0)]
     ids = picked[0].orderBy(order).limit(rows).union(picked[1].orderBy(order).limit(rows))
-    got = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    out = sorted((r["doc_id"], (r["text"] or "").encode(), int(r["toxic"] > 0)) for r in got.collect())
+    got = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    out = sorted((r["doc_id"], r["text"].encode(), int(r["toxic"] > 0)) for r in got.collect())
     return [t for _, t, _ in out], [y for _, _, y in out]
 
 
@@ -304,4 +304,6 @@ def offsets(text: bytes, p: np.ndarray) -> list[dict]:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    got = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    return got.select("doc_id", "held_out", "score", "predicted", F.array_join(F.transform("spans", span), ",").alias("spans"))
