@@ -287,6 +287,8 @@ def test_keep_one(spark, odd):
         if i is not None:
             ids[v] = min(ids.get(v, i), i)
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(ids.values())
+    named = simhash.keep_one(odd.withColumns({"_text_h": F.lit("mine"), "_ID": F.lit(1)}))
+    assert named.columns == [*odd.columns, "_text_h", "_ID"] and {r["_text_h"] for r in named.collect()} == {"mine"} and named.count() == kept.count()
 
 
 # 5

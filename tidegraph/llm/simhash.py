@@ -263,13 +263,15 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = found.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
     best = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "h", "n"), key).alias("x"))
     best = materialise(best.select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"), F.col("x.n").alias("_n")), "kept")
-    hashed = docs.withColumn("_text_h", _text_hash())
-    on = hashed["doc_id"].eqNullSafe(best["_id"]) & (hashed["_text_h"] == best["_h"])
+    taken = {c.lower() for c in docs.columns}
+    h = next(n for i in range(len(taken) + 1) if (n := f"_text_h{i or ''}") not in taken)
+    hashed = docs.withColumn(h, _text_hash())
+    on = hashed["doc_id"].eqNullSafe(best["_id"]) & (hashed[h] == best["_h"])
     if best.where("_n > 1").isEmpty():
-        return hashed.join(best, on, "left_semi").drop("_text_h")
+        return hashed.join(best, on, "left_semi").drop(h)
     once = hashed.join(best.where("_n = 1"), on, "left_semi")
-    many = hashed.join(best.where("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", "_text_h"])
-    return once.unionByName(many).drop("_text_h")
+    many = hashed.join(best.where("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", h])
+    return once.unionByName(many).drop(h)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
