@@ -226,12 +226,10 @@ def show(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> np.ndarray:
-    """Train on at most `rows` texts that hold a digit or an at-sign: those with the smallest hashes."""
-    order = F.xxhash64(F.lit("sample"), "doc_id")
+    """Train on at most `rows` texts that hold a digit or an at-sign: those with the smallest hashes of id, then text."""
     some = docs.select("doc_id", "text").where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike("[0-9]{7}|@|[0-9] [0-9]|[0-9]\\.[0-9]"))
-    edge = some.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    texts = [] if edge is None else sorted(r["text"] for r in some.where(order <= edge).select("text").limit(rows).collect())
-    return train(list(dict.fromkeys(texts)))
+    picked = some.select(F.xxhash64(F.lit("sample"), "doc_id").alias("h"), "text").orderBy("h", "text").limit(rows).select("text").collect()
+    return train(list(dict.fromkeys(sorted(r["text"] for r in picked))))
 
 
 def find_personal_data(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -273,7 +271,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def redact_personal_data(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """`docs` with all its columns and rows, the personal data in `text` replaced; null texts stay null.
 
-    A column n_chars, if there is one, is the number of characters of the new text.
+    Empty texts, null ids, very long texts and repeated rows stay as rows; an empty table stays empty. A column n_chars, if there is one, is the number of characters of the new text.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, rows))
 
