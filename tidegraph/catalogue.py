@@ -73,6 +73,15 @@ REACH = """r AS (SELECT event_idx, dst, ts, coalesce(end_ts, {open}) AS en FROM
 marked AS (SELECT dst AS id, ts, en, CASE WHEN ts >= max(en) OVER (PARTITION BY dst ORDER BY ts, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r WHERE dst <> 0),
 isl AS (SELECT id, ts, en, sum(new) OVER (PARTITION BY id ORDER BY ts, en ROWS UNBOUNDED PRECEDING) AS k FROM marked),
 windows AS (SELECT id, min(ts) AS start, max(en) AS en FROM isl GROUP BY id, k UNION ALL SELECT 0, 0, {open})"""
+COLOURS = """ranked AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM v),
+near AS (SELECT y.r, list(DISTINCT x.r) AS l FROM ev JOIN ranked x ON x.id = least(src, dst) JOIN ranked y ON y.id = greatest(src, dst) WHERE src <> dst GROUP BY y.r),
+col(r, l) AS (
+  SELECT 0::BIGINT, []::INTEGER[]
+  UNION ALL
+  SELECT col.r + 1, list_append(col.l, list_filter(range(0, len(coalesce(near.l, [])) + 1), lambda c: NOT list_contains(list_transform(coalesce(near.l, []), lambda k: col.l[k]), c))[1]::INTEGER)
+  FROM col LEFT JOIN near ON near.r = col.r + 1 WHERE col.r < (SELECT count(*) FROM v)),
+done AS (SELECT l FROM col ORDER BY r DESC LIMIT 1),
+coloured AS (SELECT ranked.id, done.l[ranked.r] AS colour FROM ranked, done)"""
 OPEN = (1 << 63) - 1
 
 
@@ -269,12 +278,12 @@ def _coloured(s, d):
     return e, v, groups.colour(e, v)
 
 
-@query("colouring")
+@query("colouring", _with(PC, COLOURS, recursive=True) + "SELECT id, colour FROM coloured")
 def colouring(s, d):
     return _coloured(s, d)[2]
 
 
-@query("colouring_histogram")
+@query("colouring_histogram", _with(PC, COLOURS, recursive=True) + "SELECT colour, count(*) AS vertices FROM coloured GROUP BY colour")
 def colouring_histogram(s, d):
     return groups.colour_histogram(_coloured(s, d)[2])
 
@@ -343,6 +352,12 @@ def temporal_windows(s, d):
     return _temporal(s, d)[1].drop("hops")
 
 
+@query("temporal_windows_rounds", ORACLES["temporal_windows"])
+def temporal_windows_rounds(s, d):
+    """The same, with every round distributed: the driver finishes none."""
+    return temporal.reachable_windows(_weekly(ev(s, d)), 0, local_edges=0).drop("hops")
+
+
 @query("temporal_reach_stats", _with(EV, DEL, REACH.format(open=OPEN), f"per AS (SELECT id, count(*) AS w, bool_or(en = {OPEN}) AS still FROM windows GROUP BY id)", "act AS (SELECT DISTINCT src AS id FROM ranges WHERE end_ts IS NULL)", "j AS (SELECT v.id, w, coalesce(still, false) AS still, act.id IS NOT NULL AS act FROM v LEFT JOIN per USING (id) LEFT JOIN act USING (id))", recursive=True) + """
 SELECT count(*) AS vertices, count(w) AS could, count(*) FILTER (still) AS still, count(*) FILTER (act) AS active, count(*) FILTER (act AND still) AS active_visitable,
   round(100.0::DOUBLE * count(w) / count(*), 4) AS could_pct, round(100.0::DOUBLE * count(*) FILTER (still) / count(w), 4) AS still_pct, coalesce(max(w), 0) AS max_windows, median(w)::DOUBLE AS median_windows FROM j""")

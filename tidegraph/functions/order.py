@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Key range of one bucket; a bucket is sorted in one task, the table of buckets in another.
-WIDTH = 1 << 16
+#: Key range of one bucket, which is sorted in one task, and of how many buckets a stretch consists.
+WIDTH, STRETCH = 1 << 16, 1 << 12
 
 
 def in_order(df: DataFrame, key: str, lead: tuple[str, ...] = (), width: int = WIDTH, out: str = "event_idx") -> DataFrame:
     """Add `out`, the 0-based position by the unique integer column `key`, and next_<c> for each c of `lead`.
 
-    Rows meet in buckets of `width` keys; only one row per bucket (its size and its first row) is ordered as a whole.
+    Rows meet in buckets of `width` keys, bucket sizes and first rows in stretches of STRETCH buckets, and only one row
+    for each stretch (WIDTH * STRETCH keys) is ordered as a whole.
     """
     rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
     inside = Window.partitionBy("_bucket").orderBy(key)
-    across = Window.orderBy("_b")
+    near, across = Window.partitionBy("_s").orderBy("_b"), Window.orderBy("_s")
     first = [F.min_by(c, key).alias(f"_first_{c}") for c in lead]
-    buckets = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"), *first)
-    buckets = buckets.select("_b", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), *[F.lead(f"_first_{c}").over(across).alias(f"_after_{c}") for c in lead])
+    buckets = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"), *first).withColumn("_s", F.floor(F.col("_b") / STRETCH))
+    stretches = buckets.groupBy("_s").agg(F.sum("_n").alias("_all"), *[F.min_by(f"_first_{c}", "_b").alias(f"_head_{c}") for c in lead])
+    stretches = stretches.select("_s", F.coalesce(F.sum("_all").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), *[F.lead(f"_head_{c}").over(across).alias(f"_past_{c}") for c in lead])
+    buckets = buckets.withColumn("_in", F.coalesce(F.sum("_n").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumns({"_end": F.lead(F.lit(1)).over(near).isNull(), **{f"_next_{c}": F.lead(f"_first_{c}").over(near) for c in lead}})
+    buckets = buckets.join(stretches, "_s").select("_b", (F.col("_base") + F.col("_in")).alias("_before"), *[F.when(F.col("_end"), F.col(f"_past_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"_after_{c}") for c in lead])
     placed = rows.withColumn("_row", F.row_number().over(inside)).withColumns({f"next_{c}": F.lead(c).over(inside) for c in lead})
     last = F.lead(F.lit(1)).over(inside).isNull()
     placed = placed.withColumn("_last", last).join(buckets, F.col("_bucket") == F.col("_b"))

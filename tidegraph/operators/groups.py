@@ -9,7 +9,8 @@ from tidegraph.functions.columns import first_unused
 from tidegraph.operators.links import components
 from tidegraph.operators.topology import neighbours, undirected_pairs
 from tidegraph.plans.program import VertexProgram
-from tidegraph.plans.storage import cut
+from tidegraph.plans.links import Links
+from tidegraph.plans.storage import cut, drop, watched
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -97,19 +98,21 @@ def colour(edges: DataFrame, vertices: DataFrame, priority: str = "id", max_roun
     rank = vertices.select("id", key.alias("p"))
     pairs = neighbours(edges)
     a, b = rank.select(F.col("id").alias("src"), F.col("p").alias("ps")), rank.select(F.col("id").alias("dst"), F.col("p").alias("pd"))
-    before = cut(pairs.join(a, "src").join(b, "dst").where("ps < pd").select("src", "dst"))  # src decides first
-    waits = before.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    before = Links(pairs.join(a, "src").join(b, "dst").where("ps < pd").select("src", "dst"), ["src"])  # src decides first
+    waits = before.table.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
     none = F.lit(None).cast("int")
     now = vertices.select("id").join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits"))
     now = now.join(start, "id", "left").select("id", "waits", F.col("colour").cast("int").alias("colour")) if start is not None else now.withColumn("colour", none)
     now = now.withColumn("colour", F.when(F.col("waits") == 0, F.coalesce("colour", F.lit(0))).otherwise(F.col("colour")))
     now = cut(now.withColumn("used", F.array().cast("array<int>")).withColumn("heard", F.lit(0).cast("long")).withColumn("fresh", F.col("colour").isNotNull()))
     for _ in range(max_rounds):
-        said = now.where("fresh").join(before, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.collect_set("colour").alias("more"), F.count("*").alias("n"))
+        sent = before.send(now.where("fresh").select(F.col("id").alias("src"), "colour"), lambda x: x.select(F.col("dst").alias("id"), "colour"))
+        said = sent.groupBy("id").agg(F.collect_set("colour").alias("more"), F.count("*").alias("n"))
         met = now.drop("fresh").join(said, "id", "left").withColumns({"used": F.when(F.col("n").isNull(), F.col("used")).otherwise(F.array_union("used", "more")), "heard": F.col("heard") + F.coalesce("n", F.lit(0))})
         ready = F.col("colour").isNull() & (F.col("heard") == F.col("waits"))
-        now = cut(met.withColumn("fresh", ready).withColumn("colour", F.when(ready, first_unused(F.col("used"))).otherwise(F.col("colour"))).select("id", "waits", "colour", "used", "heard", "fresh"))
-        if not now.where("fresh").take(1):
+        now = cut(met.withColumn("fresh", ready).withColumn("colour", F.when(ready, first_unused(F.col("used"))).otherwise(F.col("colour"))).select("id", "waits", "colour", "used", "heard", "fresh"), now, {"fresh": F.count_if("fresh")})
+        if not watched(now)["fresh"]:
+            before.close()
             return now.select("id", "colour")
     raise RuntimeError(f"colours: not done after {max_rounds} rounds; priority=\"hash\" needs fewer")
 
@@ -127,11 +130,13 @@ def recolour(edges: DataFrame, vertices: DataFrame, start: DataFrame, dirty: Dat
         around = before.join(todo.select(F.col("id").alias("dst")), "dst").join(now.select(F.col("id").alias("src"), "colour"), "src")
         used = around.groupBy(F.col("dst").alias("id")).agg(F.collect_set("colour").alias("used"))
         chosen = todo.join(used, "id", "left").select("id", first_unused(F.coalesce("used", F.array().cast("array<int>"))).alias("new"))
-        moved = cut(chosen.join(now, "id").where("colour is null or colour <> new").select("id", "new"))
-        if not moved.take(1):
+        moved = cut(chosen.join(now, "id").where("colour is null or colour <> new").select("id", "new"), watch={"n": F.count(F.lit(1))})
+        if not watched(moved)["n"]:
+            drop(before, todo)
             return now
-        now = cut(now.join(moved, "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
-        todo = cut(before.join(moved.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct())
+        now = cut(now.join(moved, "id", "left").select("id", F.coalesce("new", "colour").alias("colour")), now)
+        todo = cut(before.join(moved.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct(), todo)
+        drop(moved)
     raise RuntimeError(f"colours: no fixed point after {max_rounds} rounds")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.plans.storage import materialise
+from tidegraph.plans.storage import cut, materialise, watched
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,9 +33,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     now = ends.where("u > v")
     before = None
     for _ in range(max_rounds):
-        now = materialise(_stars(_stars(now, large=True), large=False), "stars")
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before or not mark[0]:
+        now = cut(_stars(_stars(now, large=True), large=False), now, {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v"))})
+        mark = watched(now)
+        if mark == before or not mark["n"]:
             break
         before = mark
     else:

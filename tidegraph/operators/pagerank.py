@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.plans.storage import cut
+from tidegraph.plans.links import Links
+from tidegraph.plans.storage import cut, watched
 
 DAMPING = 0.85
 
@@ -25,8 +26,8 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 50, damping: f
     edges and vertices that separate graphs which are solved together (such as a snapshot's id).
     """
     by = by or []
-    links = cut(_weights(edges, by))
-    sinks = links.select(*by, F.col("src").alias("id")).distinct().withColumn("_has", F.lit(True))
+    links = Links(_weights(edges, by), [*by, "src"])
+    sinks = links.table.select(*by, F.col("src").alias("id")).distinct().withColumn("_has", F.lit(True))
     target = F.col("id").isin(list(sources)) if sources is not None else F.lit(True)
     sizes = vertices.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(target).alias("k"))
     on = lambda a, b: a.join(F.broadcast(b), by) if by else a.join(F.broadcast(b), F.lit(True))  # noqa: E731  one row for each graph
@@ -35,14 +36,16 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int = 50, damping: f
     now = cut(base.select(*by, "id", "n", F.col("_has").isNull().alias("sink"), jump.alias("jump"), jump.alias("score")))
     for _ in range(rounds):
         lost = now.groupBy(*by).agg(F.sum(F.when(F.col("sink"), F.col("score")).otherwise(0.0)).alias("lost"))
-        mail = now.where("not sink").select(*by, F.col("id").alias("src"), "score").join(links, [*by, "src"]).groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+        sent = links.send(now.where("not sink").select(*by, F.col("id").alias("src"), "score"), lambda x: x.select(*by, F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("flow")))
+        mail = sent.groupBy(*by, "id").agg(F.sum("flow").alias("flow"))
         own = F.when(F.col("sink"), F.col("score")).otherwise(0.0)
         shared = F.when(F.col("n") > 1, (F.col("lost") - own) / (F.col("n") - 1)).otherwise(F.col("lost"))
         new = (1 - damping) * F.col("jump") + damping * (F.coalesce("flow", F.lit(0.0)) + shared)
         met = on(now.join(mail, [*by, "id"], "left"), lost)
-        now = cut(met.select(*by, "id", "n", "sink", "jump", new.alias("score"), F.col("score").alias("last")))
-        if tolerance and now.agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0] < tolerance:
+        now = cut(met.select(*by, "id", "n", "sink", "jump", new.alias("score"), F.col("score").alias("last")), now, {"moved": F.sum(F.abs(F.col("score") - F.col("last")))} if tolerance else None)
+        if tolerance and (watched(now)["moved"] or 0.0) < tolerance:
             break
+    links.close()
     return now.select(*by, "id", "score")
 
 
@@ -52,8 +55,8 @@ def pagerank_from(edges: DataFrame, vertices: DataFrame, before: DataFrame | Non
     Whatever edges came or went, the residual of the earlier scores in the new graph is what one step would change;
     pushing it until none exceeds epsilon leaves an error of at most epsilon / (1 - damping) a vertex.
     """
-    links = cut(_weights(edges, []))
-    has = links.select(F.col("src").alias("id")).distinct().withColumn("_has", F.lit(True))
+    links = Links(_weights(edges, []), ["src"])
+    has = links.table.select(F.col("src").alias("id")).distinct().withColumn("_has", F.lit(True))
     size = vertices.agg(F.count("*").alias("n"))
     state = vertices.select("id").join(has, "id", "left").join(F.broadcast(size), F.lit(True)).select("id", "n", F.col("_has").isNull().alias("sink"))
     if before is not None:
@@ -67,7 +70,8 @@ def pagerank_from(edges: DataFrame, vertices: DataFrame, before: DataFrame | Non
     for _ in range(max_rounds):
         sends = now.where(F.col("flow") != 0)
         lost = sends.where("sink").agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("lost"))
-        mail = sends.where("not sink").join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("flow") * F.col("share")).alias("got"))
+        sent = links.send(sends.where("not sink").select(F.col("id").alias("src"), "flow"), lambda x: x.select(F.col("dst").alias("to"), (F.col("flow") * F.col("share")).alias("got")))
+        mail = sent.groupBy("to").agg(F.sum("got").alias("got"))
         own = F.when(F.col("sink"), F.col("flow")).otherwise(0.0)
         shared = F.when(F.col("n") > 1, (F.col("lost") - own) / (F.col("n") - 1)).otherwise(F.col("lost"))
         came = damping * (F.coalesce("got", F.lit(0.0)) + shared)
@@ -78,10 +82,13 @@ def pagerank_from(edges: DataFrame, vertices: DataFrame, before: DataFrame | Non
             met = met.withColumn("residual", F.col("residual") + came)
         moves = F.abs("residual") > epsilon
         met = met.select("id", "n", "sink", (F.col("score") + F.when(moves, F.col("residual")).otherwise(0.0)).alias("score"), F.when(moves, F.col("residual")).otherwise(0.0).alias("flow"), F.when(moves, F.lit(0.0)).otherwise(F.col("residual")).alias("residual"))
-        now = cut(met)
+        now = cut(met, now, {"moving": F.count_if(F.col("flow") != 0)})
         first = False
-        if not now.where("flow <> 0").take(1):
+        if not watched(now)["moving"]:
             break
+    else:
+        raise RuntimeError(f"pagerank: residuals above {epsilon} after {max_rounds} rounds")
+    links.close()
     return now.select("id", (F.col("score") + F.col("residual")).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,28 +11,40 @@ from tidegraph.functions.order import slot_of
 from tidegraph.operators.pagerank import pagerank
 from tidegraph.operators.temporal import reach_report, reachable_windows
 from tidegraph.operators.topology import adds, live_edges, paired_deletes, range_edges, vertices
-from tidegraph.plans.storage import materialise
+from tidegraph.plans.storage import drop, materialise, watched
 from tidegraph.schema import ADD, DELETE
 
 #: Most snapshots of one run: their boundaries are held on the driver.
 MOST = 10_000
+#: Events of a part of the log that is searched for boundaries on the driver (16 bytes each).
+PART = 1 << 18
 
 
-def ratchet(events: DataFrame, interval: int, first: int | None = None) -> list[tuple[int, int]]:
+def ratchet(events: DataFrame, interval: int, first: int | None = None, part: int = PART) -> list[tuple[int, int]]:
     """(event_idx, ts) of the events that trigger a snapshot: the first at or past the target; then target = its ts + interval.
 
-    The first target is the interval itself unless given. One small query finds each boundary, over columns that are
-    written once; nothing but the boundaries reaches the driver.
+    The first target is the interval itself unless given. A boundary's time exceeds all before it, so it is the first
+    event of the whole log at or past its target, and lies in the first part of the log whose latest time reaches that.
+    One pass finds the latest time of each part of `part` events (or more, so that there are a million parts at most);
+    then only parts that hold boundaries are read, each once, by ranges of event_idx.
     """
-    log = materialise(events.select("event_idx", "ts"), "times")
-    target, after, out = interval if first is None else first, -1, []
-    while len(out) < MOST:
-        row = log.where((F.col("ts") >= target) & (F.col("event_idx") > after)).agg(F.min("event_idx"), F.min_by("ts", "event_idx")).first()
-        if row[0] is None:
-            return out
-        out.append((row[0], row[1]))
-        after, target = row[0], row[1] + interval
-    raise ValueError(f"more than {MOST} snapshots; choose a longer interval")
+    log = events.select("event_idx", "ts").where("ts is not null").repartitionByRange("event_idx").sortWithinPartitions("event_idx")
+    log = materialise(log, "times", {"n": F.count(F.lit(1)), "last": F.max("event_idx")})
+    part = max(part, ((watched(log)["last"] or 0) >> 20) + 1)
+    tops = log.groupBy(F.floor(F.col("event_idx") / part).alias("p")).agg(F.max("ts").alias("top")).orderBy("p").toArrow()
+    parts, reach = tops.column("p").to_numpy(), np.maximum.accumulate(tops.column("top").to_numpy()) if len(tops) else np.zeros(0)
+    target, out = interval if first is None else first, []
+    while (k := int(np.searchsorted(reach, target))) < len(parts):
+        rows = log.where(F.col("event_idx").between(int(parts[k]) * part, int(parts[k] + 1) * part - 1)).toArrow().sort_by("event_idx")
+        at, times = rows.column("event_idx").to_numpy(), rows.column("ts").to_numpy()
+        high = np.maximum.accumulate(times)
+        while (j := int(np.searchsorted(high, target))) < len(at):
+            if len(out) == MOST:
+                raise ValueError(f"more than {MOST} snapshots; choose a longer interval")
+            out.append((int(at[j]), int(times[j])))
+            target = out[-1][1] + interval
+    drop(log)
+    return out
 
 
 def every_events(events: DataFrame, n: int) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.plans.storage import cut
+from tidegraph.plans.storage import cut, drop, watched
 
 FOREVER = (1 << 63) - 1
 #: Unreached edges from which on the rest is solved on the driver: long tails of rounds with a few edges each cost more than they hold.
@@ -26,33 +26,39 @@ def merge_windows(rows: DataFrame) -> DataFrame:
     return merged.select("id", "start", F.when(F.col("_e") == FOREVER, None).otherwise(F.col("_e")).alias("end"), "hops")
 
 
-def reachable_windows(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
+def reachable_windows(edges: DataFrame, source, max_rounds: int = 10_000, local_edges: int | None = None) -> DataFrame:
     """(id, start, end, hops): disjoint windows in which a vertex is reachable from `source`, itself [0, open).
 
     An edge [ts, end_ts) can be walked from a window that holds its ts strictly inside; it opens [ts, end_ts) at its
     target. hops is the least number of edges to a window's start. Every edge is reached at most once, and a round
-    joins the new windows of a vertex, merged, with its unreached edges, so parallel ways do not multiply.
+    joins the new windows of a vertex, merged, with its unreached edges, so parallel ways do not multiply. Once at most
+    `local_edges` (LOCAL_EDGES) edges are unreached the driver does the remaining rounds.
     """
-    todo = cut(edges.select("event_idx", "src", "dst", "ts", "end_ts"))
-    front = todo.sparkSession.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    local_edges = LOCAL_EDGES if local_edges is None else local_edges
+    todo = table = cut(edges.select("event_idx", "src", "dst", "ts", "end_ts"))
+    spark = todo.sparkSession
+    front = spark.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
     reached = None
     for hops in range(1, max_rounds):
         inside = (F.col("src") == F.col("id")) & (F.col("ts") > F.col("start")) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
-        marked = cut(todo.join(front, inside, "left").select("event_idx", "src", "dst", "ts", "end_ts", F.col("id").isNotNull().alias("hit")))  # a vertex's windows are disjoint: at most one holds ts
-        new = marked.where("hit")
-        sizes = {r["hit"]: r["count"] for r in marked.groupBy("hit").count().collect()}
-        if not sizes.get(True):
+        marked = todo.join(front, inside, "left").select("event_idx", "src", "dst", "ts", "end_ts", F.col("id").isNotNull().alias("hit"))  # a vertex's windows are disjoint: at most one holds ts
+        table = cut(marked, table, {"hit": F.count_if("hit"), "left": F.count_if(~F.col("hit"))})
+        size = watched(table)
+        if not size["hit"]:
             break
-        rows = new.select(F.col("dst").alias("id"), F.col("ts").alias("start"), F.col("end_ts").alias("end"), F.lit(hops).cast("long").alias("hops"))
+        rows = cut(table.where("hit").select(F.col("dst").alias("id"), F.col("ts").alias("start"), F.col("end_ts").alias("end"), F.lit(hops).cast("long").alias("hops")))
         reached = rows if reached is None else reached.union(rows)
         front = merge_windows(rows.where(F.col("id") != source)).drop("hops")
-        todo = marked.where("not hit").drop("hit")
-        if sizes.get(False, 0) <= LOCAL_EDGES:
+        todo = table.where("not hit").drop("hit")
+        if size["left"] <= local_edges:
             # a window is sent only if it holds an edge, and an edge lies in one window of a vertex at most
             rest = _finish([tuple(r) for r in todo.collect()], [tuple(r) for r in front.join(todo.select("src", "ts"), inside, "left_semi").collect()], source, hops)
-            reached = reached.union(todo.sparkSession.createDataFrame(rest, rows.schema))
+            reached = reached.union(spark.createDataFrame(rest, rows.schema))
             break
-    own = todo.sparkSession.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("hops"))
+    else:
+        raise RuntimeError(f"temporal windows: not done after {max_rounds} rounds")
+    drop(table)
+    own = spark.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("hops"))
     return own if reached is None else own.union(merge_windows(reached.where(F.col("id") != source)))
 
 
@@ -98,9 +104,12 @@ def capped_windows(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFr
         both = state.withColumn("fresh", F.lit(False)).union(offers.select("id", "start", "end", "hops", F.lit(True)))
         order = Window.partitionBy("id").orderBy("start", F.desc("_e"), "fresh", "hops")  # of equal windows the known one
         marked = both.withColumn("_e", F.coalesce("end", F.lit(FOREVER))).withColumn("_top", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        state = cut(marked.where("_top is null or _e > _top").drop("_e", "_top"))
-        if not state.where("fresh").take(1):
+        state = cut(marked.where("_top is null or _e > _top").drop("_e", "_top"), state, {"fresh": F.count_if("fresh")})
+        if not watched(state)["fresh"]:
             break
+    else:
+        raise RuntimeError(f"temporal windows: not done after {max_rounds} rounds")
+    drop(links)
     return state.drop("fresh")
 
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.plans.storage import cut
+from tidegraph.plans.links import Links
+from tidegraph.plans.storage import cut, watched
 
 
 @dataclass
@@ -37,7 +38,9 @@ def run(program: VertexProgram, edges: DataFrame, vertices: DataFrame, max_round
     """The fixpoint: rounds in which only changed vertices send, each written once; messages combine before the shuffle.
 
     state and active continue an earlier result: `state` instead of init, sending first from the ids of `active`.
-    mail (id, msg) does so too: it is delivered first, and only vertices that it changes send.
+    mail (id, msg) does so too: it is delivered first, and only vertices that it changes send. Edges are dealt by source
+    once for all rounds; a round's table is deleted when the next is there. Without a fixpoint after max_rounds it stops
+    with an error.
     """
     edges = program.edge_transform(edges) if program.edge_transform else edges
     now = program.init(vertices) if state is None else state
@@ -46,21 +49,34 @@ def run(program: VertexProgram, edges: DataFrame, vertices: DataFrame, max_round
         now = now.join(active.select("id", F.lit(True).alias("_a")).distinct(), "id", "left").withColumn("_active", F.col("_a").isNotNull()).drop("_a")
     elif "_active" not in now.columns:
         now = now.withColumn("_active", F.lit(mail is None))
-    now = cut(now) if mail is None else _step(program, now, mail.select("id", F.col("msg").alias("_m")), columns)
-    for _ in range(max_rounds):
-        sent = now.where("_active").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), program.message().alias("_m"))
-        now = _step(program, now, sent, columns)
-        if not now.where("_active").take(1):
-            more = program.on_converged(now.drop("_active")) if program.on_converged else None
-            if more is None or not more.take(1):
-                break
-            now = _step(program, now, more.select("id", F.col("msg").alias("_m")), columns)
+    now = cut(now, watch=_active()) if mail is None else _step(program, now, mail.select("id", F.col("msg").alias("_m")), columns)
+    if not watched(now)["active"] and not program.on_converged:
+        return program.finish(now.drop("_active"), edges) if program.finish else now.drop("_active")
+    links = Links(edges, ["src"])
+    try:
+        for _ in range(max_rounds):
+            sent = links.send(now.where("_active").withColumn("src", F.col("id")), lambda x: x.select(F.col("dst").alias("id"), program.message().alias("_m")))
+            now = _step(program, now, sent, columns, now)
+            if not watched(now)["active"]:
+                more = program.on_converged(now.drop("_active")) if program.on_converged else None
+                if more is None or not more.take(1):
+                    break
+                now = _step(program, now, more.select("id", F.col("msg").alias("_m")), columns, now)
+        else:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    finally:
+        links.close(keep_table=program.finish is not None)
     out = now.drop("_active")
-    return program.finish(out, edges) if program.finish else out
+    return program.finish(out, links.table) if program.finish else out
 
 
-def _step(program: VertexProgram, now: DataFrame, sent: DataFrame, columns: list[str]) -> DataFrame:
+def _active() -> dict:
+    """What a round tells about itself as it is written."""
+    return {"active": F.count_if("_active")}
+
+
+def _step(program: VertexProgram, now: DataFrame, sent: DataFrame, columns: list[str], old: DataFrame | None = None) -> DataFrame:
     mail = sent.groupBy("id").agg(program.combine(F.col("_m")).alias("msg"))
     met = now.drop("_active").join(mail, "id", "left")
     new = met.select("id", "msg", *[F.col(c).alias(f"old_{c}") for c in columns], *[v.alias(c) for c, v in {**{c: F.col(c) for c in columns}, **program.update()}.items()])
-    return cut(new.select("id", *columns, (F.col("msg").isNotNull() & program.changed()).alias("_active")))
+    return cut(new.select("id", *columns, (F.col("msg").isNotNull() & program.changed()).alias("_active")), old, _active())
