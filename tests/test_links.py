@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.operators import pagerank, paths
+from tidegraph.operators.links import components
 from tidegraph.plans import links, storage
 
 
@@ -33,3 +34,11 @@ def test_round_tables_go(spark):
     assert [r[0] for r in b.orderBy("id").collect()] == [0, 2, 4, 6, 8]
     with pytest.raises(Exception):  # noqa: B017  the files of the round before are gone
         a.collect()
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_hub_components(spark, monkeypatch, small):
+    monkeypatch.setattr("tidegraph.operators.links.SMALL", small)
+    rows = [(0, k) for k in range(1, 300)] + [(900, k) for k in range(500, 800)] + [(299, 500), (1000, 1001), (1001, 1002), (7, 7), (2000, 2000)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {k: 0 for k in [*range(300), *range(500, 800), 900]} | {1000: 1000, 1001: 1000, 1002: 1000, 2000: 2000}
