@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegraph.llm.common import map_rows, materialise, raw_texts
-from tidegraph.llm.simhash import _text_hash, near_duplicates, one_of_each, shingles
+from tidegraph.llm.simhash import _text_hash, best_of_each, first_row, near_duplicates, one_of_each, shingles
 from tidegraph.operators.links import components
 
 WORDS = 5
@@ -102,7 +102,13 @@ def possible(x: str, y: str):
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, component) of every row: rows are linked by op4's rule or by ALIKE of their five-word shingles.
+    """(doc_id, h, component) of every row: rows are linked by op4's rule or by ALIKE of their five-word shingles."""
+    prints, now = joined_copies(docs)
+    return prints.join(now, "component").select("doc_id", "h", F.col("root").alias("component"))
+
+
+def joined_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, component) of every row by op4's rule, and the (component, root) that near copies join.
 
     The links of op4 stay, as null and blank texts have no shingles. Shingles are taken as op4 takes them: lower case
     for A-Z, words between ASCII white space, a shorter text is one shingle.
@@ -130,9 +136,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         links.append(materialise(found.join(of("a"), "a").join(of("b"), "b").select("ca", "cb"), "links"))
         root = components(links[0] if first else links[0].union(links[1]), "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("root"))
         now = materialise(label.select("component").distinct().join(root, "component", "left").select("component", F.coalesce("root", "component").alias("root")), "roots")
-    return prints.join(now, "component").select("doc_id", "h", F.col("root").alias("component"))
+    return prints, now
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """One row of each component of near_copies, chosen as op4's keep_one chooses it."""
-    return one_of_each(docs, near_copies(docs.select("doc_id", "text")))
+    """One row of each component of near_copies, chosen as op4's keep_one chooses it.
+
+    The best row of each component of op4 goes on to its root, so a group of many copies meets in no task.
+    """
+    prints, now = joined_copies(docs.select("doc_id", "text"))
+    return one_of_each(docs, best_of_each(prints).join(now, "component").groupBy("root").agg(first_row()))

@@ -254,14 +254,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
     All columns pass through; of rows equal in doc_id and text one stays. Ids and hashes alone decide; the texts are
     shuffled once, to meet the decision.
     """
-    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text"), words, radius))
+    return one_of_each(docs, best_of_each(near_duplicates(docs.select("doc_id", "text"), words, radius)))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of each component that keep_one names; found: (doc_id, h, component) of every row."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+def first_row(x: str = "x"):
+    """The aggregate that keep_one chooses by, over structs (doc_id, h, n)."""
+    return F.min_by(F.col(x), F.struct(F.col(f"{x}.doc_id").isNull().alias("none"), F.col(f"{x}.doc_id"), F.col(f"{x}.h"))).alias("x")
+
+
+def best_of_each(found: DataFrame) -> DataFrame:
+    """(component, x): the row (doc_id, h, n) of each component that keep_one names; found: (doc_id, h, component) of every row."""
     rows = found.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n"))
-    best = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "h", "n"), key).alias("x"))
+    return rows.select("component", F.struct("doc_id", "h", "n").alias("x")).groupBy("component").agg(first_row())
+
+
+def one_of_each(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows that the column x of `best` names, each once."""
     best = materialise(best.select(F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"), F.col("x.n").alias("_n")), "kept")
     taken = {c.lower() for c in docs.columns}
     h = next(n for i in range(len(taken) + 1) if (n := f"_text_h{i or ''}") not in taken)
