@@ -8,9 +8,12 @@ sample decides only how many pairs are compared, not which are found.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +28,8 @@ ALIKE = 4, 5
 SAMPLE, COMMON = 10_000, 200_000
 #: Places of the bitmap that tells which texts are compared; it goes to every task.
 PLACES = 1 << 24
+#: Bits of the sketch of a set.
+BITS = 512
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -67,19 +72,49 @@ def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     return map_rows(texts, ["h", "text"], "h long, n int, k long, at int", work)
 
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
+def sketch(shingled: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of shingles whether the set holds an odd number of them."""
+    return np.packbits((np.bincount((shingled >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def of_named(pairs: DataFrame, texts: DataFrame, schema: str, work: Callable[[list[np.ndarray]], dict]) -> DataFrame:
+    """A row (h, columns that `work` makes of sets) for each text that the pairs name, and for a few more."""
     named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
     places = np.zeros(PLACES, dtype=bool)
     places[named.select(F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)] = True
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(places))
 
-    def sets(part: pa.RecordBatch) -> dict:
+    def run(part: pa.RecordBatch) -> dict:
         at = part.column("h").to_numpy() & (PLACES - 1)
-        part = part.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))  # a few more pass; the joins below drop them
-        return {"h": part.column("h"), "s": pa.array([shingle_set(t).tobytes() for t in raw_texts(part)], pa.binary())}
+        part = part.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))  # a few more pass; joins drop them
+        return {"h": part.column("h"), **work([shingle_set(t) for t in raw_texts(part)])}
+
+    return materialise(map_rows(texts, ["h", "text"], f"h long, {schema}", run).dropDuplicates(["h"]), "sets")
+
+
+def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow similarity, an exact bound.
 
-    held = materialise(map_rows(texts, ["h", "text"], "h long, s binary", sets).dropDuplicates(["h"]), "sets")
+    Sketches differ in no more bits than there are shingles that only one set holds, and alike sets of n and m shingles
+    have at most (n + m) / 9 of those.
+    """
+    words = range(BITS // 64)
+
+    def work(sets: list[np.ndarray]) -> dict:
+        rows = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, BITS // 64)
+        return {"n": np.array([len(s) for s in sets], dtype=np.int64), **{f"s{i}": np.ascontiguousarray(rows[:, i]) for i in words}}
+
+    held = of_named(pairs, texts, "n long, " + ", ".join(f"s{i} long" for i in words), work)
+    of = lambda end: held.select(*[F.col(c).alias(end if c == "h" else f"{end}_{c}") for c in held.columns])
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in words])
+    kept = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * sum(ALIKE) <= (F.col("a_n") + F.col("b_n")) * (ALIKE[1] - ALIKE[0]))
+    return materialise(kept.select("a", "b"), "plausible")
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike: sketches rule most others out, sets decide."""
+    pairs = plausible(pairs, texts)
+    held = of_named(pairs, texts, "s binary", lambda sets: {"s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     def run(batches):
         for batch in batches:
