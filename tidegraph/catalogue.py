@@ -390,7 +390,7 @@ def snapshot_boundaries_ts(s, d):
 
 @query("snapshot_boundaries_count", _with(EV) + "SELECT ((event_idx + 1) // 250 - 1)::INTEGER AS snapshot_id, event_idx AS at_event, ts AS at_ts FROM ev WHERE (event_idx + 1) % 250 = 0")
 def snapshot_boundaries_count(s, d):
-    return snapshots.boundary_frame(s, snapshots.every_events(ev(s, d), 250))
+    return snapshots.every_events_frame(ev(s, d), 250)
 
 
 @query("snapshot_counts", _with(EV, BOUNDS.format(step=DAY), recursive=True) + "SELECT snapshot_id::INTEGER AS snapshot_id, at_event, at_ts, (SELECT count(*) FROM v WHERE create_event <= at_event) AS vertex_count, (SELECT count(*) FROM ev WHERE event_idx <= at_event) AS edge_count, 0::BIGINT AS edge_deletes FROM b WHERE at_event IS NOT NULL")

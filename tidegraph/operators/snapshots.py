@@ -47,6 +47,12 @@ def ratchet(events: DataFrame, interval: int, first: int | None = None, part: in
     return out
 
 
+def every_events_frame(events: DataFrame, n: int) -> DataFrame:
+    """(snapshot_id, at_event, at_ts) after n, 2n, ... events, any number of them: nothing is collected or ordered."""
+    rows = events.where((F.col("event_idx") + 1) % n == 0)
+    return rows.select((F.floor((F.col("event_idx") + 1) / n) - 1).cast("int").alias("snapshot_id"), F.col("event_idx").alias("at_event"), F.col("ts").alias("at_ts"))
+
+
 def every_events(events: DataFrame, n: int) -> list[tuple[int, int]]:
     """(event_idx, ts) after n, 2n, ... events; mirrored and deleting events count too."""
     rows = events.where((F.col("event_idx") + 1) % n == 0).select("event_idx", "ts").orderBy("event_idx").limit(MOST + 1).collect()
