@@ -1,8 +1,25 @@
 """Positions that do not depend on how rows are stored, and boundaries of any number."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidegraph.operators import snapshots
+from tidegraph.sources import tables
+
+
+def test_equal_keys_have_one_order(spark, tmp_path):
+    """Lines of one order with the same number: however the rows are stored, each line keeps its position."""
+    rnd, got = random.Random(5), []
+    lines = [(k // 6, k, k % 7, 1, 50.0) for k in range(240)]
+    spark.createDataFrame([(k, k) for k in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/0/orders.parquet")
+    for k in range(2):
+        rnd.shuffle(lines)
+        spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        if k:
+            spark.read.parquet(f"{tmp_path}/0/orders.parquet").write.parquet(f"{tmp_path}/1/orders.parquet")
+        got.append([tuple(r) for r in tables.part_customer(spark, f"{tmp_path}/{k}").orderBy("event_idx").collect()])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(240))
 
 
 def test_any_number_of_boundaries(spark):

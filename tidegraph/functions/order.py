@@ -11,15 +11,17 @@ WIDTH, STRETCH = 1 << 16, 1 << 12
 
 
 def in_order(df: DataFrame, key: str, lead: tuple[str, ...] = (), width: int = WIDTH, out: str = "event_idx") -> DataFrame:
-    """Add `out`, the 0-based position by the unique integer column `key`, and next_<c> for each c of `lead`.
+    """Add `out`, the 0-based position by the integer column `key`, and next_<c> for each c of `lead`.
 
+    Rows with the same key stand in the order of their other columns, so every reading of `df` gives the same positions.
     Rows meet in buckets of `width` keys, bucket sizes and first rows in stretches of STRETCH buckets, and only one row
     for each stretch (WIDTH * STRETCH keys) is ordered as a whole.
     """
     rows = df.withColumn("_bucket", F.floor(F.col(key) / width))
-    inside = Window.partitionBy("_bucket").orderBy(key)
+    by = [key, *[c for c in df.columns if c != key]]
+    inside = Window.partitionBy("_bucket").orderBy(*by)
     near, across = Window.partitionBy("_s").orderBy("_b"), Window.orderBy("_s")
-    first = [F.min_by(c, key).alias(f"_first_{c}") for c in lead]
+    first = [F.min_by(c, F.struct(*by)).alias(f"_first_{c}") for c in lead]
     buckets = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"), *first).withColumn("_s", F.floor(F.col("_b") / STRETCH))
     stretches = buckets.groupBy("_s").agg(F.sum("_n").alias("_all"), *[F.min_by(f"_first_{c}", "_b").alias(f"_head_{c}") for c in lead])
     stretches = stretches.select("_s", F.coalesce(F.sum("_all").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), *[F.lead(f"_head_{c}").over(across).alias(f"_past_{c}") for c in lead])

@@ -28,7 +28,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Index lines by (l_orderkey, l_linenumber): the key joins both, as a line number is below 1024."""
+    """Index lines by (l_orderkey, l_linenumber), equal ones by their other columns: the key joins both, as a line number is below 1024."""
     return in_order(rows.withColumn("_key", F.col("l_orderkey") * 1024 + F.col("l_linenumber")), "_key")
 
 

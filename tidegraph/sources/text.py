@@ -81,8 +81,8 @@ def events_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def from_frame(df: DataFrame, src: str, dst: str, order: str, weight: str | None = None, ts: str | None = None, kind: str | None = None) -> DataFrame:
-    """Events from any DataFrame with a unique integer column that gives their order; ids may be strings."""
-    rows = in_order(df, order)
+    """Events from any DataFrame with an integer column that gives their order (of equal ones the other columns); ids may be strings."""
+    rows = in_order(df.select(*dict.fromkeys(c for c in (order, src, dst, weight, ts, kind) if c)), order)
     return rows.select(
         "event_idx",
         (F.col(kind) if kind else F.lit(ADD)).alias("type"),
