@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.functions.order import in_sorted_order
 from tidegraph.functions.ranking import compare, overlap_report, top_n
 from tidegraph.operators import groups, pagerank, paths, snapshots, temporal, topology
 from tidegraph.sources import tables, text
@@ -191,12 +192,8 @@ def structure_differences(s, d):
 
 @query("sort_events", _with(EV) + "SELECT row_number() OVER (ORDER BY weight, event_idx) - 1 AS pos, event_idx, src, dst, weight FROM ev")
 def sort_events(s, d):
-    """Stable order by weight: positions by range partitions, then by offsets of the partitions."""
-    from tidegraph.functions.order import in_scan_order
-    from tidegraph.plans.storage import cut
-
-    rows = cut(ev(s, d).select("event_idx", "src", "dst", "weight").orderBy("weight", "event_idx"))
-    return in_scan_order(rows, "pos")
+    """Stable order by weight, null last: positions by range partitions, then by offsets of the partitions."""
+    return in_sorted_order(ev(s, d).select("event_idx", "src", "dst", "weight"), F.asc_nulls_last("weight"), "event_idx")
 
 
 # Paths

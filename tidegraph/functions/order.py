@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegraph.plans.storage import cut
+
 #: Key range of one bucket, which is sorted in one task, and of how many buckets a stretch consists.
 WIDTH, STRETCH = 1 << 16, 1 << 12
 
@@ -47,15 +49,27 @@ def in_order_within(df: DataFrame, by: str, key: str, width: int = WIDTH, out: s
     return placed.join(before, [by, "_bucket"]).select(*df.columns, (F.col("_row") - 1 + F.col("_before")).alias(out))
 
 
+def in_sorted_order(df: DataFrame, *by: str | Column, out: str = "pos") -> DataFrame:
+    """Add the 0-based position in the order `by`, which leaves no ties: range partitions are sorted, then numbered.
+
+    Each row is written with the number of its partition: files are read back by size, not in the order they were written.
+    """
+    return _numbered(cut(df.orderBy(*by).withColumn("_id", F.monotonically_increasing_id())), df.columns, out)
+
+
 def in_scan_order(df: DataFrame, out: str = "event_idx") -> DataFrame:
     """Add the 0-based position in scan order (partition, then row). `df` must give the same rows on every reading."""
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    return _numbered(df.withColumn("_id", F.monotonically_increasing_id()), df.columns, out)
+
+
+def _numbered(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """Positions from _id, which holds a partition's number above 33 bits for the row in it."""
     part = F.shiftright("_id", 33)
     sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = F.broadcast(sizes.select("_p", before.alias("_before")))  # one row per input split
+    sizes = F.broadcast(sizes.select("_p", before.alias("_before")))  # one row per partition
     low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(sizes, part == F.col("_p")).withColumn(out, low + F.col("_before")).select(*df.columns, out)
+    return rows.join(sizes, part == F.col("_p")).withColumn(out, low + F.col("_before")).select(*columns, out)
 
 
 def slot_of(value: Column, bounds: list[int]) -> Column:
