@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from tidegraph.llm import near_copies, simhash
 
 
@@ -46,3 +48,30 @@ def test_near_copies(spark):
     got = near_copies.keep_one_copy(df)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(k) for k in range(len(rows))})
     assert near_copies.keep_one_copy(df.limit(0)).count() == 0
+
+
+def test_sketches_of_long_texts():
+    """Sketches grow with their sets, so they still rule out long texts that have little in common; they bound the difference."""
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 40, 900, 5000, 20_000):
+        x = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        for m, shared in ((n, 0.0), (n, 0.7), (n, 0.9), (n + n // 5, 1.0)):
+            y = np.union1d(x[: int(shared * n)], rnd.integers(0, 1 << 63, m - int(shared * n)).astype(np.uint64))
+            only, d = len(np.setxor1d(x, y)), near_copies.bits_apart(near_copies.sketch(x), near_copies.sketch(y))
+            assert d <= only and d % 2 == only % 2
+            if n >= 900 and shared <= 0.7:  # a similarity of 0.54 at most
+                assert 9 * d > len(x) + len(y)
+
+
+def test_few_shingles_are_shuffled(spark):
+    """Texts with nothing in common shuffle no shingle but a few; each shared one of a prefix is shuffled by all that hold it."""
+    texts = [" ".join("t%dw%d" % (k, j) for j in range(200)) for k in range(60)] + [" ".join("same%d" % j for j in range(60)) + " x%d" % k for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = near_copies.prefixes(df, none, len(texts)).collect()
+    want = {}
+    for k, t in enumerate(texts):
+        for s in near_copies.prefix(near_copies.shingle_set(t.encode()), none).tolist():
+            want.setdefault(s, set()).add(k)
+    several = {(s, k) for s, ks in want.items() if len(ks) > 1 for k in ks}
+    assert several and several <= {(r["k"] % (1 << 64), r["h"]) for r in got} and len(got) < len(several) + 50

@@ -1,25 +1,25 @@
 """Near copies by the share of five-word shingles they have in common, without a missed pair.
 
 Two sets of shingles with a Jaccard similarity of at least 4/5 share one of the first n - ceil(4n / 5) + 1 shingles of
-either, in any order that is the same for all texts (prefix filter). Texts that share such a shingle are compared
-exactly, unless they are known to be linked. Shingles that a sample finds in many texts come last in the order; the
+either, in any order that is the same for all texts (prefix filter). Texts that share such a shingle are compared,
+by sketches and then exactly, unless they are known to be linked. Shingles that a sample finds in many texts come last in the order; the
 sample decides only how many pairs are compared, not which are found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.llm.common import map_rows, materialise, raw_texts
+from tidegraph.llm.common import map_rows, materialise, raw_texts, shuffle_width
 from tidegraph.llm.simhash import _text_hash, best_of_each, first_row, near_duplicates, one_of_each, shingles
 from tidegraph.operators.links import components
+from tidegraph.plans.storage import drop
 
 WORDS = 5
 #: Least similarity, as a fraction, so that it is compared in integers.
@@ -28,8 +28,10 @@ ALIKE = 4, 5
 SAMPLE, COMMON = 10_000, 200_000
 #: Places of the bitmap that tells which texts are compared; it goes to every task.
 PLACES = 1 << 24
-#: Bits of the sketch of a set.
+#: Least bits of the sketch of a set.
 BITS = 512
+#: Parts of the bitmap of shingles that stand in several texts.
+SEGMENTS = 256
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -50,35 +52,85 @@ def common_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray
     return s[order], n[order]
 
 
-def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, n, k, at): the shingles k of each text's prefix, their places and the size of its set."""
+def prefix(shingled: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set that a similar set shares at least one of, in the order that is the same for all texts."""
+    often, count = common
+    if len(often):
+        at = np.minimum(np.searchsorted(often, shingled), len(often) - 1)
+        shingled = shingled[np.argsort(np.where(often[at] == shingled, count[at], 0), kind="stable")]
+    return shingled[: len(shingled) - -(-ALIKE[0] * len(shingled) // ALIKE[1]) + 1]
+
+
+def repeated(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): a shingle that stands in the prefixes of two texts has the place of its lowest 32 bits' highest `bits` set.
+
+    A few others have too, so the bitmap only spares shuffling most shingles that stand in one text. Tasks deal 4 bytes
+    a shingle by SEGMENTS of the places. rows: of texts.
+    """
+    bits = min(max(16, (256 * rows).bit_length()), 28)  # 32 MB at most
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def work(part: pa.RecordBatch) -> dict:
-        often, count = sent.value
-        hs, keys, sizes = part.column("h").to_numpy(), [], []
+        keys = [prefix(shingle_set(t), sent.value).astype(np.uint32) for t in raw_texts(part)]
+        keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+        cuts = np.searchsorted(keys, np.arange(SEGMENTS + 1, dtype=np.uint64) * ((1 << 32) // SEGMENTS))
+        return {"p": np.arange(SEGMENTS, dtype=np.int32), "z": pa.array([keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())}
+
+    def merge(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for p, z in zip(batch.column("p").to_pylist(), batch.column("z"), strict=True):
+                held.setdefault(p, []).append(np.frombuffer(z.as_buffer(), np.uint32).copy())
+        for p, parts in held.items():
+            keys = np.sort(np.concatenate(parts))
+            places = np.zeros((1 << bits) // SEGMENTS, dtype=bool)
+            places[(keys[1:][keys[1:] == keys[:-1]] >> np.uint32(32 - bits)) - np.uint32(p * len(places))] = True
+            yield pa.RecordBatch.from_pydict({"p": np.array([p], np.int32), "z": pa.array([np.packbits(places).tobytes()], pa.binary())})
+
+    got = map_rows(texts, ["text"], "p int, z binary", work).repartition(shuffle_width(texts.sparkSession), "p").mapInArrow(merge, "p int, z binary").toArrow()
+    out = np.zeros((SEGMENTS, (1 << bits) // SEGMENTS // 8), dtype=np.uint8)
+    for p, z in zip(got.column("p").to_pylist(), got.column("z").to_pylist(), strict=True):
+        out[p] = np.frombuffer(z, np.uint8)
+    return bits, out.ravel()
+
+
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], rows: int) -> DataFrame:
+    """(h, n, k, at): the shingles k of each text's prefix that another may share, their places and the size of its set."""
+    sent = texts.sparkSession.sparkContext.broadcast((common, repeated(texts, common, rows)))
+
+    def work(part: pa.RecordBatch) -> dict:
+        common, (bits, places) = sent.value
+        hs, keys, at, sizes = part.column("h").to_numpy(), [], [], []
         for t in raw_texts(part):
             s = shingle_set(t)
             sizes.append(len(s))
-            if len(often):
-                at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                s = s[np.argsort(np.where(often[at] == s, count[at], 0), kind="stable")]
-            keys.append(s[: len(s) - -(-ALIKE[0] * len(s) // ALIKE[1]) + 1])
-        many = np.array([len(k) for k in keys])
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
-        return {"h": np.repeat(hs, many), "n": np.repeat(np.array(sizes, np.int32), many), "k": flat.view(np.int64), "at": place.astype(np.int32)}
+            s = prefix(s, common)
+            place = s.astype(np.uint32) >> np.uint32(32 - bits)
+            at.append(np.flatnonzero(places[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1))
+            keys.append(s[at[-1]])
+        many = np.array([len(k) for k in keys], dtype=np.int64)
+        flat, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (at, np.int64)))
+        return {"h": np.repeat(hs, many), "n": np.repeat(np.array(sizes, np.int32), many), "k": flat.view(np.int64), "at": at.astype(np.int32)}
 
     return map_rows(texts, ["h", "text"], "h long, n int, k long, at int", work)
 
 
 def sketch(shingled: np.ndarray) -> np.ndarray:
-    """For each of BITS classes of shingles whether the set holds an odd number of them."""
-    return np.packbits((np.bincount((shingled >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    """For each of 2^i classes of shingles whether the set holds an odd number of them: two classes a shingle, at least BITS."""
+    size = max(BITS, 1 << (2 * len(shingled) - 1).bit_length())
+    return np.packbits((np.bincount((shingled & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many classes two sketches differ, the finer one folded to the classes of the other."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def of_named(pairs: DataFrame, texts: DataFrame, schema: str, work: Callable[[list[np.ndarray]], dict]) -> DataFrame:
-    """A row (h, columns that `work` makes of sets) for each text that the pairs name, and for a few more."""
+def of_named(pairs: DataFrame, texts: DataFrame, schema: str, work: Callable[[list[bytes]], dict]) -> DataFrame:
+    """A row (h, columns that `work` makes of texts) for each text that the pairs name, and for a few more."""
     named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
     places = np.zeros(PLACES, dtype=bool)
     places[named.select(F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)] = True
@@ -87,46 +139,63 @@ def of_named(pairs: DataFrame, texts: DataFrame, schema: str, work: Callable[[li
     def run(part: pa.RecordBatch) -> dict:
         at = part.column("h").to_numpy() & (PLACES - 1)
         part = part.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))  # a few more pass; joins drop them
-        return {"h": part.column("h"), **work([shingle_set(t) for t in raw_texts(part)])}
+        return {"h": part.column("h"), **work(raw_texts(part))}
+
+    return materialise(map_rows(texts, ["h", "text"], f"h long, {schema}", run).dropDuplicates(["h"]), "named")
+
 
-    return materialise(map_rows(texts, ["h", "text"], f"h long, {schema}", run).dropDuplicates(["h"]), "sets")
+def of_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, x_<c>, y_<c>): the pairs with the columns of both their texts."""
+    of = lambda end, name: held.select(*[F.col(c).alias(end if c == "h" else f"{name}_{c}") for c in held.columns])
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", *[f"{x}_{c}" for x in "xy" for c in held.columns if c != "h"])
 
 
 def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sketches allow similarity, an exact bound.
+    """(a, b, d): the pairs whose sketches, d bits apart, allow similarity, an exact bound.
 
     Sketches differ in no more bits than there are shingles that only one set holds, and alike sets of n and m shingles
-    have at most (n + m) / 9 of those.
+    have at most (n + m) / 9 of those. As long texts have long sketches, few other pairs pass.
     """
-    words = range(BITS // 64)
 
-    def work(sets: list[np.ndarray]) -> dict:
-        rows = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, BITS // 64)
-        return {"n": np.array([len(s) for s in sets], dtype=np.int64), **{f"s{i}": np.ascontiguousarray(rows[:, i]) for i in words}}
+    def work(texts: list[bytes]) -> dict:
+        sets = [shingle_set(t) for t in texts]
+        return {"n": np.array([len(s) for s in sets], dtype=np.int64), "s": pa.array([sketch(s).tobytes() for s in sets], pa.binary())}
 
-    held = of_named(pairs, texts, "n long, " + ", ".join(f"s{i} long" for i in words), work)
-    of = lambda end: held.select(*[F.col(c).alias(end if c == "h" else f"{end}_{c}") for c in held.columns])
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in words])
-    kept = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * sum(ALIKE) <= (F.col("a_n") + F.col("b_n")) * (ALIKE[1] - ALIKE[0]))
-    return materialise(kept.select("a", "b"), "plausible")
+    def run(batches):
+        for batch in batches:
+            ends = zip(batch.column("x_s"), batch.column("y_s"), strict=True)
+            d = np.array([bits_apart(*(np.frombuffer(v.as_buffer(), np.uint64) for v in xy)) for xy in ends], dtype=np.int64)
+            n = batch.column("x_n").to_numpy() + batch.column("y_n").to_numpy()
+            found = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "d": d})
+            yield found.filter(pa.array(d * sum(ALIKE) <= n * (ALIKE[1] - ALIKE[0])))
+
+    held = of_named(pairs, texts, "n long, s binary", work)
+    out = materialise(of_both(pairs, held).mapInArrow(run, "a long, b long, d long"), "plausible")
+    drop(held)
+    return out
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: sketches rule most others out, sets decide."""
-    pairs = plausible(pairs, texts)
-    held = of_named(pairs, texts, "s binary", lambda sets: {"s": pa.array([s.tobytes() for s in sets], pa.binary())})
+    """The pairs (a, b) whose sets are alike, which the texts decide; compressed, they are a third of their sets."""
+
+    def work(texts: list[bytes]) -> dict:
+        return {"n": np.array([len(t) for t in texts], dtype=np.int64), "z": pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())}
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(ALIKE[1] * both >= ALIKE[0] * (len(x) + len(y) - both))
+            keep, last = [], (None, None)
+            for b, xn, xz, yn, yz in zip(*(batch.column(c) for c in ("b", "x_n", "x_z", "y_n", "y_z")), strict=True):
+                x = shingle_set(pa.decompress(xz.as_buffer(), xn.as_py(), "zstd", asbytes=True))
+                if last[0] != b.as_py():
+                    last = b.as_py(), shingle_set(pa.decompress(yz.as_buffer(), yn.as_py(), "zstd", asbytes=True))
+                both = len(np.intersect1d(x, last[1], assume_unique=True))
+                keep.append(ALIKE[1] * both >= ALIKE[0] * (len(x) + len(last[1]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(held.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    held = of_named(pairs, texts, "n long, z binary", work)
+    out = materialise(of_both(pairs, held).mapInArrow(run, "a long, b long"), "alike")
+    drop(held)
+    return out
 
 
 def possible(x: str, y: str):
@@ -150,27 +219,41 @@ def joined_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     prints = materialise(near_duplicates(docs).select("doc_id", "h", "component"), "copies")
     texts = docs.select("doc_id", _text_hash().alias("h"), "text")  # exact copies of a text stay; they meet in one h
-    label = prints.select("h", "component").distinct()
-    bucket = Window.partitionBy("k")
-    shared = prefixes(texts, common_shingles(texts, prints.count())).withColumn("pivot", F.min(F.struct("h", "n", "at")).over(bucket)).withColumn("last", F.max("h").over(bucket))
-    shared = materialise(shared.where(F.col("pivot.h") < F.col("last")).drop("last").distinct().join(label, "h").select("k", "pivot", "component", F.struct("h", "n", "at").alias("x")), "shared")
-    links, now = [], label.select("component", F.col("component").alias("root")).distinct()
-    for first in (True, False):  # all texts of a bucket with one of it; then all pairs that this has not joined
-        rows = shared.join(now, "component").select("k", "pivot", "x", "root")
-        one = rows.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-        rows = rows.join(one, "k")
-        if first:
-            rows = rows.join(label.select(F.col("h").alias("_p"), F.col("component").alias("_c")), F.col("pivot.h") == F.col("_p")).where("root <> _c")
-            pairs = rows.where(possible("pivot", "x")).select(F.col("pivot.h").alias("a"), F.col("x.h").alias("b"))
-        else:
-            other = rows.select("k", F.col("x").alias("y"), F.col("root").alias("other"))
-            pairs = rows.join(other, "k").where("root <> other and x.h < y.h and x.h <> pivot.h").where(possible("x", "y")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-        pairs = materialise(pairs.distinct(), "pairs")
+    label = materialise(prints.select("h", "component").distinct(), "label")
+    rows, bucket = prints.count(), Window.partitionBy("k")
+    starts = prefixes(texts, common_shingles(texts, rows), rows).repartition(shuffle_width(docs.sparkSession), "k").groupBy("k", "h").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    shared = starts.select("k", F.struct("h", "n", "at").alias("x")).withColumn("pivot", F.min("x").over(bucket)).withColumn("last", F.max("x.h").over(bucket))
+    shared = materialise(shared.where(F.col("pivot.h") < F.col("last")).drop("last"), "shared")
+    of = lambda c, what: what.select(F.col("h").alias(c), F.col("root").alias(f"c{c}"))
+    own = label.select("h", F.col("component").alias("root"))
+    apart = lambda pairs, root: materialise(pairs.distinct().join(of("a", root), "a").join(of("b", root), "b").where("ca <> cb").select("a", "b"), "pairs")
+    links = None
+
+    def join_up(pairs: DataFrame) -> DataFrame:
+        nonlocal links
         found = alike(pairs, texts)
-        of = lambda c: label.select(F.col("h").alias(c), F.col("component").alias(f"c{c}"))
-        links.append(materialise(found.join(of("a"), "a").join(of("b"), "b").select("ca", "cb"), "links"))
-        root = components(links[0] if first else links[0].union(links[1]), "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("root"))
-        now = materialise(label.select("component").distinct().join(root, "component", "left").select("component", F.coalesce("root", "component").alias("root")), "roots")
+        found = materialise(found.join(of("a", own), "a").join(of("b", own), "b").select("ca", "cb"), "links")
+        links = found if links is None else links.union(found)
+        root = components(links, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("root"))
+        return materialise(label.select("component").distinct().join(root, "component", "left").select("component", F.coalesce("root", "component").alias("root")), "roots")
+
+    # each text with the nearest first text of its buckets, then all pairs of a bucket that this has not joined
+    pairs = apart(shared.where("x.h <> pivot.h").where(possible("pivot", "x")).select(F.col("pivot.h").alias("a"), F.col("x.h").alias("b")), own)
+    near = plausible(pairs, texts)
+    now = join_up(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"))
+    drop(pairs, near)
+    root = materialise(label.join(now, "component").select("h", "root"), "root")
+    mixed = shared.select("k", "x").join(root, F.col("x.h") == F.col("h")).select("k", "x", "root")
+    mixed = mixed.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").select("k", "x", "root")
+    mixed = materialise(mixed, "mixed")
+    drop(shared)
+    other = mixed.select("k", F.col("x").alias("y"), F.col("root").alias("other"))
+    pairs = mixed.join(other, "k").where("root <> other and x.h < y.h").where(possible("x", "y")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    drop(mixed, root)
+    near = plausible(pairs, texts)
+    now = join_up(near.select("a", "b"))
+    drop(pairs, near)
     return prints, now
 
 
