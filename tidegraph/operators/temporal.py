@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tidegraph.plans.storage import cut, drop, watched
@@ -91,26 +93,65 @@ def undominated(rows: DataFrame) -> DataFrame:
     return marked.where("_top is null or _e > _top").drop("_e", "_top")
 
 
-def capped_windows(edges: DataFrame, source, max_rounds: int = 10_000) -> DataFrame:
+def capped_windows(edges: DataFrame, source) -> DataFrame:
     """(id, start, end, hops) when a window ends with the edge or with the window it came from, whichever is first.
 
     Windows that another one covers are dropped; those that merely overlap stay, as their ends differ in what they allow.
+    hops is the least number of edges to a window. A walk goes on strictly later, so one pass over the edges in order of
+    time settles every window at its start: of a vertex it needs only how late a window with so many hops ends. Of
+    parallel edges at one time the longest stands for all. Time is one order, so the pass is one task, over sorted rows
+    that Spark spills; it holds the vertices' open windows by hops, and never pairs windows with edges.
     """
-    links = cut(edges.select("src", "dst", "ts", F.col("end_ts").alias("e_end")))
-    state = cut(links.sparkSession.range(1).select(F.lit(source).cast(edges.schema["src"].dataType).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
-        inside = (F.col("src") == F.col("id")) & (F.col("ts") > F.col("start")) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
-        offers = state.where("fresh").join(links, inside).where(F.col("dst") != source).groupBy(F.col("dst").alias("id"), F.col("ts").alias("start"), F.least("end", "e_end").alias("end")).agg((F.min("hops") + 1).alias("hops"))
-        both = state.withColumn("fresh", F.lit(False)).union(offers.select("id", "start", "end", "hops", F.lit(True)))
-        order = Window.partitionBy("id").orderBy("start", F.desc("_e"), "fresh", "hops")  # of equal windows the known one
-        marked = both.withColumn("_e", F.coalesce("end", F.lit(FOREVER))).withColumn("_top", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        state = cut(marked.where("_top is null or _e > _top").drop("_e", "_top"), state, {"fresh": F.count_if("fresh")})
-        if not watched(state)["fresh"]:
-            break
-    else:
-        raise RuntimeError(f"temporal windows: not done after {max_rounds} rounds")
-    drop(links)
-    return state.drop("fresh")
+    kind = edges.schema["src"].dataType
+    own = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).cast("long").alias("hops"))
+    last = F.max(F.coalesce("end_ts", F.lit(FOREVER))).alias("e")
+    links = edges.where(F.col("dst") != source).where("src is not null and ts > 0").groupBy("src", "dst", "ts").agg(last)
+    start = own.first()["id"]
+
+    def run(batches):
+        ends = {start: [(0, FOREVER)]}  # by vertex: (hops, latest end) of open windows that start before `now`, both rising
+        tops, now, met = {}, None, {}
+        out = [], [], [], []
+        for batch in batches:
+            for u, v, ts, e in zip(*(batch.column(c).to_pylist() for c in ("src", "dst", "ts", "e")), strict=True):
+                if ts != now:
+                    _settle(ends, tops, met, now, out)
+                    now, met = ts, {}
+                for hops, end in ends.get(u, ()):
+                    if end > ts:
+                        met.setdefault(v, []).append((hops + 1, min(end, e)))
+                        if end >= e:
+                            break
+            yield _windows(out, schema)
+            out = [], [], [], []
+        _settle(ends, tops, met, now, out)
+        yield _windows(out, schema)
+
+    schema = to_arrow_schema(own.schema)
+    return own.union(cut(links.repartition(1).sortWithinPartitions("ts").select("src", "dst", "ts", "e").mapInArrow(run, own.schema)))
+
+
+def _settle(ends: dict, tops: dict, met: dict, now: int, out: tuple[list, ...]) -> None:
+    """Enter the offers (hops, end) that vertices met at the time `now`, and give out the window of each that none covers.
+
+    tops: how late any window of a vertex so far ends.
+    """
+    for v, offers in met.items():
+        late, hops = max((end, -hops) for hops, end in offers)
+        if v not in tops or late > tops[v]:
+            tops[v] = late
+            for column, x in zip(out, (v, now, late if late < FOREVER else None, -hops), strict=True):
+                column.append(x)
+        top, rising = now, []
+        for x in sorted([*ends.get(v, ()), *offers], key=lambda x: (x[0], -x[1])):
+            if x[1] > top:
+                top = x[1]
+                rising.append(x)
+        ends[v] = rising
+
+
+def _windows(out: tuple[list, ...], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
 
 def reach_report(windows: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
