@@ -75,3 +75,41 @@ def test_few_shingles_are_shuffled(spark):
             want.setdefault(s, set()).add(k)
     several = {(s, k) for s, ks in want.items() if len(ks) > 1 for k in ks}
     assert several and several <= {(r["k"] % (1 << 64), r["h"]) for r in got} and len(got) < len(several) + 50
+
+
+def test_large_group_gives_few_pairs(spark, monkeypatch):
+    """Texts that are not quite alike but share most shingles are not written as pairs; those that are alike all come out."""
+    rnd = random.Random(9)
+    base, rows = ["b%d" % j for j in range(150)], []
+    for k in range(70):
+        copy = list(base)
+        for at in rnd.sample(range(10, 140), 4):
+            copy[at] = "x%d" % rnd.randrange(10**9)
+        rows.append(" ".join(copy))
+        if k % 7 == 0:  # one more word: alike
+            copy[rnd.randrange(5)] = "y%d" % k
+            rows.append(" ".join(copy))
+    sets, prints = [brute_set(t) for t in rows], [simhash.fingerprint(t.encode()) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 4:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert len({find(k) for k in range(len(rows))}) > 50
+    written, materialise = [], near_copies.materialise
+
+    def counted(df, name, *more):
+        out = materialise(df, name, *more)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    got = near_copies.keep_one_copy(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(k) for k in range(len(rows))})
+    assert sum(written) < 5 * len(rows)  # all pairs are 3,160

@@ -32,6 +32,8 @@ PLACES = 1 << 24
 BITS = 512
 #: Parts of the bitmap of shingles that stand in several texts.
 SEGMENTS = 256
+#: Shingles ahead of a shared one by which a pair that has met before is known, mostly.
+AHEAD = 4
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -129,9 +131,19 @@ def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def of_named(pairs: DataFrame, texts: DataFrame, schema: str, work: Callable[[list[bytes]], dict]) -> DataFrame:
-    """A row (h, columns that `work` makes of texts) for each text that the pairs name, and for a few more."""
-    named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
+def folded(words: np.ndarray) -> np.ndarray:
+    """The sketch in BITS classes."""
+    while len(words) * 64 > BITS:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
+
+
+def of_named(named: DataFrame, texts: DataFrame, schema: str, work: Callable[[list[bytes]], dict]) -> DataFrame:
+    """A row (h, columns that `work` makes of texts) for each text whose h is in `named`, and for a few more."""
     places = np.zeros(PLACES, dtype=bool)
     places[named.select(F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)] = True
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(places))
@@ -150,16 +162,27 @@ def of_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", *[f"{x}_{c}" for x in "xy" for c in held.columns if c != "h"])
 
 
-def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, d): the pairs whose sketches, d bits apart, allow similarity, an exact bound.
+FOLDED = [f"w{k}" for k in range(BITS // 64)]
 
-    Sketches differ in no more bits than there are shingles that only one set holds, and alike sets of n and m shingles
-    have at most (n + m) / 9 of those. As long texts have long sketches, few other pairs pass.
-    """
+
+def sketches(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, n, s, w0, w1 ..): the size and sketch of the sets of the texts named, and the sketch in BITS classes, 64 a column."""
 
     def work(texts: list[bytes]) -> dict:
         sets = [shingle_set(t) for t in texts]
-        return {"n": np.array([len(s) for s in sets], dtype=np.int64), "s": pa.array([sketch(s).tobytes() for s in sets], pa.binary())}
+        held = [sketch(s) for s in sets]
+        words = np.array([folded(s) for s in held], dtype=np.uint64).reshape(-1, len(FOLDED)).view(np.int64)
+        return {"n": np.array([len(s) for s in sets], dtype=np.int64), "s": pa.array([s.tobytes() for s in held], pa.binary()), **{c: words[:, k].copy() for k, c in enumerate(FOLDED)}}
+
+    return of_named(named, texts, "n long, s binary, " + ", ".join(f"{c} long" for c in FOLDED), work)
+
+
+def plausible(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, d): the pairs whose sketches, d bits apart, allow similarity, an exact bound. held: sketches of their texts.
+
+    Sketches differ in no more bits than there are shingles that only one set holds, and alike sets of n and m shingles
+    have at most (n + m) / 9 of those. As long texts have long sketches, few other pairs pass.
+    """
 
     def run(batches):
         for batch in batches:
@@ -169,10 +192,7 @@ def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             found = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "d": d})
             yield found.filter(pa.array(d * sum(ALIKE) <= n * (ALIKE[1] - ALIKE[0])))
 
-    held = of_named(pairs, texts, "n long, s binary", work)
-    out = materialise(of_both(pairs, held).mapInArrow(run, "a long, b long, d long"), "plausible")
-    drop(held)
-    return out
+    return materialise(of_both(pairs, held.select("h", "n", "s")).mapInArrow(run, "a long, b long, d long"), "plausible")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -192,7 +212,7 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(ALIKE[1] * both >= ALIKE[0] * (len(x) + len(last[1]) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = of_named(pairs, texts, "n long, z binary", work)
+    held = of_named(ends(pairs), texts, "n long, z binary", work)
     out = materialise(of_both(pairs, held).mapInArrow(run, "a long, b long"), "alike")
     drop(held)
     return out
@@ -205,6 +225,29 @@ def possible(x: str, y: str):
     return (ALIKE[1] * F.least(n, m) >= ALIKE[0] * F.greatest(n, m)) & (sum(ALIKE) * top >= ALIKE[0] * (n + m))
 
 
+def ready_to_meet(mixed: DataFrame, held: DataFrame) -> DataFrame:
+    """mixed, its x with the sketch in BITS classes and `ahead`, the AHEAD shingles of `mixed` before k in the text's prefix."""
+    order = Window.partitionBy("h").orderBy("x.at", "k")
+    rows = mixed.withColumn("h", F.col("x.h")).join(held.select("h", *FOLDED), "h")
+    rows = rows.withColumn("ahead", F.array_compact(F.array(*[F.lag("k", j).over(order) for j in range(1, AHEAD + 1)])))
+    return rows.select("k", "root", "low", F.struct("x.*", "ahead", *FOLDED).alias("x"))
+
+
+def meetings(ready: DataFrame) -> DataFrame:
+    """(a, b), some several times: the pairs of different roots that share a shingle and may be alike, by exact bounds.
+
+    ready: (k, x, root, low): the text x with the shingle k, its root, and the least root of any text with k. A bucket's
+    texts of the root `low` are not paired among themselves. Sketches rule out most others where the texts meet, so a
+    large group of texts that are not quite alike gives few rows. A pair that has one of the shingles ahead of k in
+    common is left to that one's bucket: its first shared shingle has none, so no pair is lost.
+    """
+    other = ready.select("k", F.col("x").alias("y"), F.col("root").alias("other"))
+    apart = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDED)
+    near = apart * sum(ALIKE) <= (F.col("x.n") + F.col("y.n")) * (ALIKE[1] - ALIKE[0])
+    met = ready.where("root <> low").join(other, "k").where("root <> other and (other = low or x.h < y.h)").where(possible("x", "y"))
+    return met.where(near).where(~F.arrays_overlap("x.ahead", "y.ahead")).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, h, component) of every row: rows are linked by op4's rule or by ALIKE of their five-word shingles."""
     prints, now = joined_copies(docs)
@@ -239,19 +282,19 @@ def joined_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # each text with the nearest first text of its buckets, then all pairs of a bucket that this has not joined
     pairs = apart(shared.where("x.h <> pivot.h").where(possible("pivot", "x")).select(F.col("pivot.h").alias("a"), F.col("x.h").alias("b")), own)
-    near = plausible(pairs, texts)
+    held = sketches(shared.select("x.h"), texts)
+    near = plausible(pairs, held)
     now = join_up(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"))
     drop(pairs, near)
     root = materialise(label.join(now, "component").select("h", "root"), "root")
     mixed = shared.select("k", "x").join(root, F.col("x.h") == F.col("h")).select("k", "x", "root")
-    mixed = mixed.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").select("k", "x", "root")
-    mixed = materialise(mixed, "mixed")
-    drop(shared)
-    other = mixed.select("k", F.col("x").alias("y"), F.col("root").alias("other"))
-    pairs = mixed.join(other, "k").where("root <> other and x.h < y.h").where(possible("x", "y")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    pairs = materialise(pairs.distinct(), "pairs")
-    drop(mixed, root)
-    near = plausible(pairs, texts)
+    mixed = mixed.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").drop("high")
+    mixed = materialise(ready_to_meet(mixed, held), "mixed")
+    drop(shared, root)
+    pairs = materialise(meetings(mixed).distinct(), "pairs")
+    drop(mixed)
+    near = plausible(pairs, held)
+    drop(held)
     now = join_up(near.select("a", "b"))
     drop(pairs, near)
     return prints, now
