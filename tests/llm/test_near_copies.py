@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from tidegraph.llm import near_copies, simhash
+from tidegraph.llm import common, near_copies, simhash
 
 
 def brute_set(text):
@@ -113,3 +113,20 @@ def test_large_group_gives_few_pairs(spark, monkeypatch):
     got = near_copies.keep_one_copy(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(k) for k in range(len(rows))})
     assert sum(written) < 5 * len(rows)  # all pairs are 3,160
+
+
+def test_batches_of_texts_are_small(spark, monkeypatch):
+    """What Python gets of the texts at once stays near SLICE_BYTES, and the session's own limit is as before."""
+    read, most = near_copies.raw_texts, 2 * common.SLICE_BYTES
+
+    def checked(batch):
+        held = batch.column("text").buffers()[2]  # of the whole batch, not of the slice alone
+        assert held is None or held.size <= most, held.size
+        return read(batch)
+
+    monkeypatch.setattr(near_copies, "raw_texts", checked)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    rows = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 5000), x -> cast(x * (id div 2 + 1) as string)), ' ') as text")
+    assert near_copies.near_copies(rows).select("component").distinct().count() == 200
+    assert spark.conf.get(limit) == before

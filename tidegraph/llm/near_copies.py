@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegraph.llm.common import map_rows, materialise, raw_texts, shuffle_width
+from tidegraph.llm.common import map_rows, materialise, raw_texts, shuffle_width, small_batches
 from tidegraph.llm.simhash import _text_hash, best_of_each, first_row, near_duplicates, one_of_each, shingles
 from tidegraph.operators.links import components
 from tidegraph.plans.storage import drop
@@ -258,8 +258,13 @@ def joined_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, component) of every row by op4's rule, and the (component, root) that near copies join.
 
     The links of op4 stay, as null and blank texts have no shingles. Shingles are taken as op4 takes them: lower case
-    for A-Z, words between ASCII white space, a shorter text is one shingle.
+    for A-Z, words between ASCII white space, a shorter text is one shingle. All jobs that work on texts end in here.
     """
+    with small_batches(docs.sparkSession):
+        return _joined_copies(docs)
+
+
+def _joined_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = materialise(near_duplicates(docs).select("doc_id", "h", "component"), "copies")
     texts = docs.select("doc_id", _text_hash().alias("h"), "text")  # exact copies of a text stay; they meet in one h
     label = materialise(prints.select("h", "component").distinct(), "label")
